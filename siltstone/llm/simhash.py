@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, small, table
+from siltstone.llm.common import checkpointed, small, table, text_of
 from siltstone.llm.components import components
 
 BITS = 64
@@ -60,15 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; a null text counts as empty."""
+    """(doc_id, fp, key) for each row of ``docs``, the key being a hash of the text; a
+    null text counts as empty."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(t.as_py()) for t in batch["text"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], fps, batch["key"]], ["doc_id", "fp", "key"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of_batches, f"doc_id {kind}, fp long")
+    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("key", F.xxhash64("text"))
+    return texts.mapInArrow(of_batches, f"doc_id {kind}, fp long, key long")
 
 
 def signed(x: int) -> int:
@@ -136,7 +138,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed), component_id.
+    """One row per row of ``docs``: doc_id, key (hash of the text), fp (signed), component_id.
 
     Texts without words (null, empty, white space) have fingerprint 0 and are linked
     like any other. The component's id is the smallest doc_id reachable, null ids
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = checkpointed(joined.join(least, "root").select("fp", "component_id"))
-    return fps.join(small(of_class), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(small(of_class), "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
