@@ -1,0 +1 @@
+"""Curation and audit of training data on Spark."""

@@ -1,0 +1,47 @@
+"""Ranking of models and estimates of run times from small histories."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from siltstone.operators.planning import upper_median
+
+
+def scaled(column: str):
+    """Min-max scaling over the whole (small) table; 1 where all values are equal."""
+    w = Window.partitionBy()
+    low, high = F.min(column).over(w), F.max(column).over(w)
+    return F.when(high - low < 1e-9, F.lit(1.0)).otherwise(F.try_divide(F.col(column) - low, high - low))
+
+
+def ranked_models(results: DataFrame) -> DataFrame:
+    """Adds composite (0.5 quality, 0.35 pass rate, 0.15 speed, each scaled) and place to
+    the rows whose status is ok."""
+    ok = results.where(F.col("status") == "ok")
+    parts = ok.withColumn("q", scaled("avg_quality_score")).withColumn("p", scaled("pass_rate")).withColumn("s", scaled("examples_per_second"))
+    out = parts.withColumn("composite", F.round(0.5 * F.col("q") + 0.35 * F.col("p") + 0.15 * F.col("s"), 4)).drop("q", "p", "s")
+    order = Window.orderBy(F.desc("composite"), F.desc("avg_quality_score"), F.desc("pass_rate"), "model")
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def recommended(recommendations: DataFrame, domain: str) -> DataFrame:
+    """The recommendation of the same domain, else that of the most shared words."""
+    mine = F.array(*[F.lit(w) for w in domain.lower().split("_")])
+    shared = F.size(F.array_intersect(F.split("domain", "_"), mine))
+    rank = F.when(F.col("domain") == domain, F.lit(1 << 20)).otherwise(shared)
+    return recommendations.withColumn("shared", rank).where("shared > 0").orderBy(F.desc("shared"), "ord").limit(1)
+
+
+def eta_minutes(history: DataFrame, provider: str, model: str, has_seeds: bool, examples: int, nearest: int = 5) -> DataFrame:
+    """One row, low, middle, high: the upper median of the minutes of the nearest
+    comparable runs, each scaled to the number of examples."""
+    same = history.where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("has_seeds") == has_seeds) & (F.col("examples") > 0))
+    near = same.orderBy(F.abs(F.col("examples") - examples), F.desc("updated_at")).limit(nearest)
+    middle = near.withColumn("scaled", F.col("minutes") * examples / F.col("examples")).agg(upper_median("scaled").alias("middle"))
+    return middle.select((F.col("middle") * 0.85).alias("low"), "middle", (F.col("middle") * 1.2).alias("high"))
+
+
+def latest(history: DataFrame, n: int = 200) -> DataFrame:
+    """The last n rows of a history by time."""
+    return history.orderBy(F.desc("updated_at"), F.desc("run")).limit(n)
