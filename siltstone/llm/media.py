@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.llm.common import table
 
@@ -187,8 +188,8 @@ def sniffed(df: DataFrame, content: str = "content", declared: str = "declared")
                 files.append([{"kind": m.kind, "start": m.start, "end": m.end, "bytes": data[m.start : m.end]} for m in found if m.start])
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(kinds, pa.string()), pa.array(files, carved)], names=[*kept, "media_type", "carved"])
 
-    schema = df.select(*kept).schema.add("media_type", "string").add("carved", "array<struct<kind:string,start:bigint,end:bigint,bytes:binary>>")
-    return df.select(*kept).mapInArrow(of_batches, schema)
+    added = StructType.fromDDL("media_type string, carved array<struct<kind:string,start:bigint,end:bigint,bytes:binary>>")
+    return df.select(*kept).mapInArrow(of_batches, StructType([*df.select(*kept).schema.fields, *added.fields]))
 
 
 DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
