@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FENCE = re.compile(r"^\s*```[A-Za-z]*\s*|\s*```\s*$")
 
@@ -52,7 +53,7 @@ def first_json(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(raw: pd.Series) -> pd.Series:
     """JSON text, null where nothing parses; read it on with try_parse_json."""
     return raw.map(first_json)

@@ -48,8 +48,9 @@ def first_matches(hits: DataFrame) -> DataFrame:
 
 
 def exact_hits(examples: DataFrame, bench: DataFrame) -> DataFrame:
-    """id, benchmark, item_index (the least equal item): normalised texts are equal."""
-    items = bench.select("benchmark", "item_index", text_hash(F.col("text")).alias("hash"))
+    """id, benchmark, item_index (the least equal item): normalised texts are equal.
+    Items without any letter or digit match nothing."""
+    items = bench.where(F.trim(normalize_decon(F.col("text"))) != "").select("benchmark", "item_index", text_hash(F.col("text")).alias("hash"))
     own = examples.select("id", text_hash(F.col("text")).alias("hash"))
     return own.join(bounded(items), "hash").groupBy("id", "benchmark").agg(F.min("item_index").alias("item_index"))
 

@@ -129,7 +129,7 @@ firsts AS (
   SELECT id, benchmark, min(item_index) AS item_index, arg_min(overlap / item_grams, item_index) AS confidence
   FROM hits GROUP BY id, benchmark),
 exacts AS (
-  SELECT id, benchmark, min(item_index) AS item_index FROM norms JOIN items ON md5(norms.n) = md5(items.n) GROUP BY id, benchmark),
+  SELECT id, benchmark, min(item_index) AS item_index FROM norms JOIN items ON trim(items.n) <> '' AND md5(norms.n) = md5(items.n) GROUP BY id, benchmark),
 subs AS (
   SELECT id, benchmark, min(item_index) AS item_index FROM norms JOIN items ON trim(items.n) <> '' AND contains(norms.n, items.n)
   GROUP BY id, benchmark),
