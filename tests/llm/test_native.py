@@ -1,0 +1,129 @@
+"""Operators built of DataFrame functions: PII, mixing, exact dedup, licenses."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import exact_dedup, licenses, mixing, pii
+from tests.llm.helpers import TEXTS, awkward, empty
+
+PLAIN = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    doubled = [int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and max(map(int, m.group().split("."))) > 255:
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+HARD = [
+    "a@b.c_d@e.f x@y", "x@y.z@q.r", "1.2.3.4.5.6.7.8 1.2.3", "300.1.2.3.4 0255.255.255.255", "+1 555 +44 (20) 7946-0958-",
+    "4539-1488-0343-6467 4539148803436467123456 5 4539 1488 0343 6467", "4539148803436467-4539148803436467", "é+12345678 ü1.1.1.1", "+1..........2 +12345678901234567",
+    "a" * 5000 + "@" + "b." * 3000, "1" * 20000, "1.2." * 3000,
+]
+
+
+def test_base_spans_match_the_plain_patterns(spark):
+    docs = spark.createDataFrame(list(enumerate(HARD + [t or "" for t in TEXTS])), "doc_id long, text string")
+    for r in pii.detect(docs).select("doc_id", pii.spans_text(F.col("base")).alias("s")).collect():
+        assert r["s"] == plain_spans((HARD + [t or "" for t in TEXTS])[r["doc_id"]])
+
+
+def test_bootstrap_discovers_unseen_identifiers(spark):
+    cards = [c for c in map(str, range(4539148803436000, 4539148803436080)) if luhn(c)][:6]
+    seen = [(i, f"some words before card: {cards[i % 6]} and phone: +1 415 555 26{i:02d} then more") for i in range(20)]
+    unseen = [(100, "words before card: 4539-1488-0343-64 and phone: 415-555-2671 then"), (101, "no context 415-555-2671x here"), (102, "the year 2024 was long")]
+    docs = spark.createDataFrame(seen + unseen, "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in pii.detect(docs).select("doc_id", pii.spans_text(F.col("found")).alias("s")).collect()}
+    assert found[100] == "card:19:36,phone:48:60"
+    assert found[101] == "" and found[102] == "" and all(found[i] == "" for i in range(20))
+
+
+def test_pii_of_awkward_and_empty_tables(spark):
+    rows = pii.detect(awkward(spark)).collect()
+    assert len(rows) == len(TEXTS) + 3 and all(r["found"] == [] for r in rows)
+    assert pii.detect(empty(spark)).count() == 0
+
+
+def test_targets_fill_up_by_weight(spark):
+    per = spark.createDataFrame([("a", 100), ("b", 100), ("c", 1000), (None, 10)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(per).collect()}
+    total = 1.5 * 1210
+    assert got["a"] == 200 and got[None] == 20 and sum(got.values()) == pytest.approx(total)
+    assert got["b"] == 200 and got["c"] == pytest.approx(total - 420)
+
+
+def test_mix_comes_near_targets_and_repeats(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit("five words are in here").alias("text"))
+    mixed = mixing.mixed(docs)
+    for r in mixed.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("w"), F.max("copies").alias("c")).collect():
+        assert abs(r["w"] - r["t"]) < 0.05 * r["t"] and r["c"] <= 2
+    assert mixed.orderBy("doc_id").select("copies").collect() == mixing.mixed(docs).orderBy("doc_id").select("copies").collect()
+    assert mixing.emitted(docs).count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_mix_of_awkward_and_empty_tables(spark):
+    rows = mixing.mixed(awkward(spark)).collect()
+    assert len(rows) == len(TEXTS) + 3
+    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows)
+    assert mixing.emitted(awkward(spark)).columns == awkward(spark).columns
+    assert mixing.mixed(empty(spark)).count() == 0
+
+
+def collide(text):
+    return F.length(text).cast("long") % 3
+
+
+@pytest.mark.parametrize("key", [F.xxhash64, collide])
+def test_copies_are_found_even_if_keys_collide(spark, key):
+    rows = exact_dedup.find_copies(awkward(spark), capacity=2, max_depth=6, key=key).collect()
+    body = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    given = [(r["doc_id"], body(r["text"])) for r in awkward(spark).collect()]
+    assert len(rows) == len(given)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in rows:
+        group = [i for i, t in given if sha(t) == r["text_sha256"]]
+        keep = min((i for i in group if i is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(group), r["doc_id"] == keep)
+    assert exact_dedup.find_copies(empty(spark)).count() == 0
+
+
+def test_index_chains_and_directory(spark):
+    index = exact_dedup.build_index(awkward(spark), capacity=2, max_depth=6, key=collide).collect()
+    chains = {}
+    for r in index:
+        chains.setdefault((r["bucket"], r["key"]), []).append(r["chain"])
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values()) and max(map(len, chains.values())) > 1
+    assert exact_dedup.directory({0: 9, 3: 1}, 4, 2) == [(0, 2, 9), (1, 2, 0), (2, 1, 1)]
+
+
+def test_licenses(spark):
+    rows = {r["doc_id"]: r["hits"] for r in licenses.scanned(awkward(spark)).collect()}
+    assert [(h["license"], h["dice"]) for h in rows[7]] == [("MIT", 1.0)]
+    assert all(rows[i] == [] for i in rows if i != 7)
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal in\nthe Software without restriction\n\nand so on"
+    near = spark.createDataFrame([(1, text), (2, "All rights  RESERVED!"), (3, "All rights of ours reserved")], "doc_id long, text string")
+    hits = {r["doc_id"]: [(h["license"], round(h["dice"], 2)) for h in r["hits"]] for r in licenses.scanned(near).collect()}
+    assert hits == {1: [("MIT-grant", 1.0)], 2: [("ARR", 1.0)], 3: []}
+    assert licenses.scanned(empty(spark)).count() == 0
