@@ -25,8 +25,14 @@ def exact_overlap(generated: DataFrame, reference: DataFrame) -> DataFrame:
 
 def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float = NEAR) -> DataFrame:
     """id, likeness: the best Jaccard of answers' grams with any reference answer, at
-    least ``threshold``. Answers are compared once for each distinct gram set: copies
-    share one representative on both sides, so groups of copies don't multiply."""
+    least ``threshold``.
+
+    Answers are compared once for each distinct gram set, so groups of copies don't
+    multiply. Two sets that are alike enough share one of their rarest grams: of n
+    grams the n - ceil(threshold x n) + 1 that the fewest answers have. Only sets that
+    share one of those are compared, so passages that very many answers have in
+    common bring no candidates as long as answers also have words of their own.
+    """
     def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed = rows.select("id", F.array_sort(grams_overlap(F.col("assistant"))).alias("g"))
         own = keyed.withColumn("k", F.md5(F.array_join("g", "\n")))
@@ -34,13 +40,19 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
 
     member, gen = classes(generated)
     _, ref = classes(reference)
-    flat = lambda df, k, n: df.select(F.col("k").alias(k), F.size("g").alias(n), F.explode("g").alias("gram"))
-    shared = flat(gen, "k", "n1").join(flat(ref, "k2", "n2"), "gram")
-    # sizes alone rule most pairs out
-    shared = shared.where(F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))
-    counts = shared.groupBy("k", "k2", "n1", "n2").agg(F.count(F.lit(1)).alias("both"))
-    best = counts.groupBy("k").agg(F.max(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).alias("likeness"))
-    return member.join(best.where(F.col("likeness") >= threshold), "k").select("id", "likeness")
+    grams = gen.select(F.explode("g").alias("gram")).union(ref.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def rarest(side: DataFrame, k: str, n: str) -> DataFrame:
+        flat = side.select(F.col("k").alias(k), F.size("g").alias(n), F.explode("g").alias("gram")).join(grams, "gram")
+        ordered = flat.groupBy(k, n).agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"))
+        return ordered.select(k, n, F.explode(F.slice("o", F.lit(1), F.col(n) - F.ceil(F.col(n) * threshold).cast("int") + 1)["gram"]).alias("gram"))
+
+    shared = rarest(gen, "k", "n1").join(rarest(ref, "k2", "n2"), "gram")
+    pairs = shared.where(F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")).select("k", "k2").distinct()
+    both = pairs.join(gen, "k").join(ref.select(F.col("k").alias("k2"), F.col("g").alias("g2")), "k2")
+    likeness = both.withColumn("both", F.size(F.array_intersect("g", "g2"))).select("k", (F.col("both") / (F.size("g") + F.size("g2") - F.col("both"))).alias("likeness"))
+    best = likeness.where(F.col("likeness") >= threshold).groupBy("k").agg(F.max("likeness").alias("likeness"))
+    return member.join(best, "k").select("id", "likeness")
 
 
 def semantic_overlap(generated: DataFrame, reference: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
