@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, checkpointed, small, table, text_of
+from siltstone.llm.common import BROADCAST_ROWS, checkpointed, small, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -116,9 +116,16 @@ def contexts(at: Column) -> Column:
 
 
 def word_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, total) for the wanted words, over all whole texts; in lower case."""
+    """(word, total) for the wanted words, over all whole texts; in lower case.
+
+    A small list is broadcast, so that only its words are counted; beyond that all
+    words are counted, combined before they are shuffled, and then looked up.
+    """
     words = docs.select(F.explode(F.split(F.lower(text_of(docs)), r"[\x20\x09-\x0D]+")).alias("word"))
-    return words.join(small(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    total = F.count(F.lit(1)).alias("total")
+    if wanted.count() <= BROADCAST_ROWS:
+        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(total)
+    return words.groupBy("word").agg(total).join(wanted, "word", "left_semi")
 
 
 def bootstrap(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES, min_score: float = MIN_SCORE) -> DataFrame:
