@@ -45,3 +45,13 @@ def eta_minutes(history: DataFrame, provider: str, model: str, has_seeds: bool,
 def latest(history: DataFrame, n: int = 200) -> DataFrame:
     """The last n rows of a history by time."""
     return history.orderBy(F.desc("updated_at"), F.desc("run")).limit(n)
+
+
+def candidate_models(available: list[str], recommended_: str | None, n: int, code: bool = False, wanted: list[str] = ()) -> list[str]:
+    """Models to compare: those asked for that are there, in that order; else the
+    recommended one, then general models before coders (the other way round for
+    code), by name."""
+    if wanted:
+        return [m for m in wanted if m in available]
+    order = sorted(available, key=lambda m: (m != recommended_, ("coder" in m) != code, m))
+    return order[:n]

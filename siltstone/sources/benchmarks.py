@@ -109,3 +109,15 @@ def corpus(spark: SparkSession, folder: str | None, names=tuple(SIGNATURES), lim
             sources[name] = "table"
         out = out.unionByName(part)
     return out, sources
+
+
+def cached_corpus(spark: SparkSession, folder: str | None, cache: str, names=tuple(SIGNATURES), limit: int = 200) -> DataFrame:
+    """The corpus with its normalised texts and hashes, kept under ``cache`` for the same
+    benchmarks, limit and texts; anything else makes another table."""
+    from siltstone.functions.text import normalize_decon, text_hash
+
+    items_, _ = corpus(spark, folder, names, limit)
+    texts = items_.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), ""))).first()[0]  # at most limit items a benchmark
+    path = f"{cache}/{'-'.join(names)}-{limit}-{texts}"
+    items_.withColumn("norm", normalize_decon(F.col("text"))).withColumn("hash", text_hash(F.col("text"))).write.mode("ignore").parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +29,31 @@ def run_table(spark: SparkSession, folder: str, suffix: str, schema: str) -> Dat
     named = files.select("*", F.element_at(parts, -2).alias("run"), F.element_at(parts, -1).alias("file"))
     first = named.groupBy("run").agg(F.min("file").alias("file"))
     return named.join(first, ["run", "file"]).drop("file")
+
+
+def run_metrics(summaries: DataFrame, uplifts: DataFrame) -> DataFrame:
+    """Runs that have both a summary and an uplift."""
+    return summaries.join(uplifts, "run")
+
+
+def companion(folder: str, suffix: str) -> dict | None:
+    """The first JSON file (by name) with the suffix in a driver-side folder that can be read."""
+    for path in sorted(Path(folder).glob(f"*{suffix}")):
+        try:
+            return json.loads(path.read_text())
+        except (OSError, ValueError):
+            continue
+    return None
+
+
+def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A run history; empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Adds rows to a history; ``ranking.latest`` reads the last ones."""
+    rows.write.mode("append").json(path)
