@@ -31,7 +31,8 @@ RATE = 0.05
 DECAY = 1e-4
 SEED = 42
 THRESHOLD = 0.7
-CACHE = 300_000  # words that a task remembers
+CACHE = 200_000  # words that a task remembers
+CHUNK = 256  # documents whose features are held at once
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()-]")
 STATS = (
@@ -96,6 +97,15 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield b, [features(t.as_py() or "", n.as_py(), buckets) for t, n in zip(b["text"], b["n_chars"])]
 
 
+def scores_of(model: Model, texts: pa.Array, declared: pa.Array, buckets: Buckets) -> pa.Array:
+    """Scores of a batch, whose features are held for a chunk at a time."""
+    out = []
+    for start in range(0, len(texts), CHUNK):
+        part = zip(texts[start : start + CHUNK], declared[start : start + CHUNK])
+        out.append(scored(model, [features(t.as_py() or "", n.as_py(), buckets) for t, n in part]))
+    return pa.array(np.concatenate([np.zeros(0), *out]), pa.float64())
+
+
 def inputs(docs: DataFrame, *more: str) -> DataFrame:
     declared = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), declared.alias("n_chars"), *more)
@@ -199,8 +209,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scored(shared.value, found), pa.float64())], names=["doc_id", "score"])
+        buckets = Buckets()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], scores_of(shared.value, b["text"], b["n_chars"], buckets)], names=["doc_id", "score"])
 
     return inputs(docs).mapInArrow(of_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
@@ -209,13 +220,11 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     """The rows of ``docs``, all columns, whose score reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text, declared):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         buckets = Buckets()
-        found = [features(t or "", None if n is None or n != n else int(n), buckets) for t, n in zip(text, declared)]
-        import pandas as pd
-
-        return pd.Series(scored(shared.value, found))
+        for texts, declared in batches:
+            yield scores_of(shared.value, texts, declared, buckets)
 
     declared = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.where(score(F.col("text").cast("string"), declared) >= threshold)
