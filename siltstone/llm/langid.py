@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 from zlib import crc32
 
@@ -29,6 +30,7 @@ PENALTY = 6.0
 UNLIKELY = -30.0  # for languages never seen in the word's script
 CACHE = 300_000  # words that a task remembers
 CELLS = 8_000_000  # word scores held at once
+PART = 50_000  # words whose n-grams are hashed at once
 UNDETERMINED = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,16 +52,32 @@ SCRIPTS = {
 SCRIPT_NAMES = [*SCRIPTS, "other"]
 
 
-def script(word: str) -> int:
-    """The number of the script of a word's first letter."""
-    c = ord(word[0])
+@cache
+def script_of(letter: str) -> int:
+    c = ord(letter)
     return next((i for i, ranges in enumerate(SCRIPTS.values()) if any(a <= c <= b for a, b in ranges)), len(SCRIPTS))
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word with its edges marked, and of the whole word."""
-    w = f"<{word}>"
-    return [crc32(w[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)] + [crc32(b"=" + word.encode()) % BUCKETS]
+def script(word: str) -> int:
+    """The number of the script of a word's first letter."""
+    return script_of(word[0])
+
+
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word's number, bucket) of every n-gram of the words, their edges marked, and of
+    each word as a whole. All n-grams of one length are hashed at once."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    owners, buckets = [np.arange(len(words))], [np.array([crc32(w.encode()) % BUCKETS for w in words], np.int64)]
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        if n in GRAMS:
+            whole = owner[: len(h)] == owner[n - 1 :]
+            mixed = (h[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            owners.append(owner[: len(h)][whole])
+            buckets.append((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS)
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 class Model(NamedTuple):
@@ -92,15 +110,18 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 words.setdefault(lang.as_py(), Counter()).update(LETTERS.findall(text.as_py().lower()))
         for lang, counts in words.items():
             sums, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
+            known, times = list(counts), np.array([*counts.values()], np.int64)
+            for start in range(0, len(known), PART):
+                owner, bucket = gram_buckets(known[start : start + PART])
+                sums += np.bincount(bucket, weights=times[start + owner], minlength=BUCKETS).astype(np.int64)
             for word, n in counts.items():
-                np.add.at(sums, grams(word), n)
                 scripts[script(word)] += n
             both = np.concatenate((sums, scripts))
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(both[at])], names=["lang", "at", "n"])
 
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    found = sampled(known, rows).select("lang", "text").mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")  # counted without the texts
+    found = sampled(known, rows).where(F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     counts[found["at"].to_numpy(dtype=np.int64), [languages.index(x) for x in found["lang"]]] = found["n"]
@@ -110,32 +131,41 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 class Words(dict):
-    """word -> row of ``scores``, filled as words come; forgotten when there are too many."""
+    """word -> row of ``scores``. New words get a row as they come and their scores
+    together, in ``complete``; all are forgotten when there are too many."""
 
     def __init__(self, model: Model, limit: int = CACHE):
         super().__init__()
-        self.model, self.limit = model, limit
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
+        self.model, self.limit, self.new = model, limit, []
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.scores):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-        at = grams(word)
-        # n-grams overlap: the mean, times the letters, weighs a word by its length
-        self.scores[row] = self.model.weights[at].mean(axis=0) * min(len(word), 12)
-        seen = self.model.scripts[script(word)]
-        if seen.any():  # else every language stays a candidate
-            self.scores[row, ~seen] = UNLIKELY * 12
-        self.letters[row] = len(word)
-        self[word] = row
+        self[word] = row = len(self)
+        self.new.append(word)
         return row
 
+    def complete(self) -> None:
+        model, scores = self.model, [self.scores]
+        for start in range(0, len(self.new), PART):
+            part = self.new[start : start + PART]
+            owner, bucket = gram_buckets(part)
+            sums = np.stack([np.bincount(owner, weights=model.weights[bucket, i], minlength=len(part)) for i in range(len(model.languages))], axis=1)
+            lengths = np.array([len(w) for w in part])
+            # n-grams overlap: the mean, times the letters, weighs a word by its length
+            own = sums / np.bincount(owner)[:, None] * np.minimum(lengths, 12)[:, None]
+            seen = model.scripts[[script(w) for w in part]]
+            own[~seen & seen.any(axis=1)[:, None]] = UNLIKELY * 12  # where no language was seen, all stay candidates
+            scores.append(own.astype(np.float32))
+        if self.new:
+            self.scores = np.concatenate(scores)
+            self.letters = np.concatenate((self.letters, [len(w) for w in self.new])).astype(np.int64)
+            self.new = []
+
     def forget(self) -> None:
         if len(self) > self.limit:
             self.clear()
+            self.scores, self.letters = self.scores[:0], self.letters[:0]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -177,6 +207,7 @@ def labelled(texts: list[str], words: Words, penalty: float, spans: bool) -> lis
     """(language, share of letters, spans) of each text; spans as (first, last, language) in words."""
     names = words.model.languages
     rows = [np.fromiter(map(words.__getitem__, LETTERS.findall(t.lower())), np.int64) for t in texts]
+    words.complete()
     order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
     lengths = np.array([len(rows[i]) for i in order])
     flat = np.concatenate([rows[i] for i in order]) if rows else np.zeros(0, np.int64)
