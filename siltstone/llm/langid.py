@@ -159,7 +159,9 @@ class Words(dict):
             scores.append(own.astype(np.float32))
         if self.new:
             self.scores = np.concatenate(scores)
-            self.letters = np.concatenate((self.letters, [len(w) for w in self.new])).astype(np.int64)
+            # the words' pattern also takes numbers such as ² and Ⅷ, which aren't letters
+            letters = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in self.new]
+            self.letters = np.concatenate((self.letters, letters)).astype(np.int64)
             self.new = []
 
     def forget(self) -> None:

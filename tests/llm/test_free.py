@@ -144,10 +144,10 @@ def test_language_spans(spark, sf_dir):
     held = langid.identify(docs.where(langid.is_held_out(F.col("doc_id"))), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
     de, en = (docs.where((F.col("lang") == x) & (F.col("n_chars") > 800)).orderBy("doc_id").first()["text"][:600] for x in ("de", "en"))
-    mixed = spark.createDataFrame([(1, f"{de} {en}"), (2, "1234 !!"), (3, None), (4, "日本")], "doc_id long, text string")
+    mixed = spark.createDataFrame([(1, f"{de} {en}"), (2, "1234 !!"), (3, None), (4, "日本"), (5, "² ½ Ⅷ _")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.identify(mixed, model).collect()}
     assert [s["lang"] for s in got[1]["spans"]] == ["de", "en"]
-    assert got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[4]["lang_pred"] in model.languages
+    assert got[2]["lang_pred"] == got[3]["lang_pred"] == got[5]["lang_pred"] == "und" and got[4]["lang_pred"] in model.languages
     assert len(langid.identify(awkward(spark), model).collect()) == len(TEXTS) + 3
     assert langid.identify(empty(spark), model).count() == 0
     nothing = langid.train(empty(spark))
