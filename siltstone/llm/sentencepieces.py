@@ -4,7 +4,7 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the pi
 they would make, the leftmost first among equals, and merges from its top until it
 is empty. Where no piece of the vocabulary reaches across the start of a word, or
 across a character that no longer piece contains, merges can't either; so the text
-is cut there and the segments' ids are kept in a bounded table per task. In every
+is cut there and the segments' ids are kept in a bounded table per worker process. In every
 Arrow batch the segments that are new are also encoded by the sentencepiece library,
 and a difference fails the job. Decoding is the library's.
 """
@@ -14,8 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -25,16 +25,40 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import table
 
 MARK = "▁"
-CACHE = 200_000  # segments that a task remembers
+CACHE = 150_000  # segments in each of two generations that a worker remembers
+CHECK = 20_000  # new segments after which the library is asked, if a batch has more
+SHORT = 40  # characters of a segment whose agenda is a list
+NEVER = 1 << 30
 
 
-def merged(text: str, scores: dict[str, float]) -> list[str]:
-    """The pieces of a text (spaces already marked) by the agenda."""
+def merged(text: str, ranks: dict[str, int]) -> list[str]:
+    """The pieces of a text (spaces already marked) by the agenda.
+
+    ``ranks`` orders pieces by score, the best first, equal ones alike. A short text's
+    agenda is a list with a place for every pair, in which the best is looked up; a
+    long text's is a heap.
+    """
+    return merged_short(text, ranks) if len(text) <= SHORT else merged_long(text, ranks)
+
+
+def merged_short(text: str, ranks: dict[str, int]) -> list[str]:
+    symbols, rank = list(text), ranks.get
+    agenda = [rank(a + b, NEVER) for a, b in zip(text, text[1:])]
+    while agenda and (best := min(agenda)) < NEVER:
+        i = agenda.index(best)
+        symbols[i] += symbols.pop(i + 1)
+        del agenda[i]
+        if i < len(agenda):
+            agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+        if i:
+            agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+    return symbols
+
+
+def merged_long(text: str, ranks: dict[str, int]) -> list[str]:
     symbols, n = list(text), len(text)
-    if n == 1:
-        return symbols
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = [(-s, i, 2) for i in range(n - 1) if (s := scores.get(symbols[i] + symbols[i + 1])) is not None]
+    agenda = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(symbols[i] + symbols[i + 1])) is not None]
     heapify(agenda)
     while agenda:
         _, left, size = heappop(agenda)
@@ -46,15 +70,15 @@ def merged(text: str, scores: dict[str, float]) -> list[str]:
         after[left] = onward = after[right]
         if onward < n:
             before[onward] = left
-            if (s := scores.get(symbols[left] + symbols[onward])) is not None:
-                heappush(agenda, (-s, left, size + len(symbols[onward])))
-        if (back := before[left]) >= 0 and (s := scores.get(symbols[back] + symbols[left])) is not None:
-            heappush(agenda, (-s, back, size + len(symbols[back])))
+            if (r := ranks.get(symbols[left] + symbols[onward])) is not None:
+                heappush(agenda, (r, left, size + len(symbols[onward])))
+        if (back := before[left]) >= 0 and (r := ranks.get(symbols[back] + symbols[left])) is not None:
+            heappush(agenda, (r, back, size + len(symbols[back])))
     return [x for x in symbols if x]
 
 
 class Pieces(dict):
-    """segment -> (ids, the ids as text), filled as segments come."""
+    """segment -> its ids as text, joined by commas; filled as segments come."""
 
     def __init__(self, model: str, limit: int = CACHE):
         super().__init__()
@@ -62,30 +86,32 @@ class Pieces(dict):
         kinds = [(i, lib.id_to_piece(i)) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.ids = {p: i for i, p in kinds if not lib.is_byte(i)}
         self.bytes = {int(p[3:5], 16): i for i, p in kinds if lib.is_byte(i)}
-        self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        order = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {p: order[score] for p, score in scores.items()}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no bytes to fall back to")
         long = [p for p in self.ids if len(p) > 1]
         letters = "".join(sorted(re.escape(c) for c in set("".join(long)) - {MARK}))
         words_end = not any(MARK in p.lstrip(MARK) for p in long)
         self.cut = re.compile(f"{MARK}*[{letters}]+|{MARK}+|[^{letters}{MARK}]" if words_end else ".+", re.DOTALL)
-        self.limit, self.new = limit, []
-
-    def ids_of(self, segment: str) -> list[int]:
-        return [i for p in merged(segment, self.scores) for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
-
-    def __missing__(self, segment: str) -> tuple[list[int], str]:
-        ids = self.ids_of(segment)
-        self[segment] = out = (ids, ",".join(map(str, ids)))
-        self.new.append(segment)
+        self.limit, self.new, self.older = limit, [], {}
+
+    def __missing__(self, segment: str) -> str:
+        if (out := self.older.get(segment)) is None:
+            own, raw = self.ids, self.bytes
+            ids = [str(i) for p in merged(segment, self.ranks) for i in ([own[p]] if p in own else [raw[b] for b in p.encode()])]
+            out = ",".join(ids)
+            self.new.append(segment)
+        self[segment] = out
         return out
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a whole text, and the ids joined by commas."""
-        if not text:
-            return [], ""
-        found = list(map(self.__getitem__, self.cut.findall(MARK + text.replace(" ", MARK))))
-        return list(chain.from_iterable(x[0] for x in found)), ",".join([x[1] for x in found])
+    def joined(self, marked: str) -> str:
+        return ",".join(map(self.__getitem__, self.cut.findall(marked)))
+
+    def encode(self, text: str) -> str:
+        """The ids of a whole text, joined by commas."""
+        return self.joined(MARK + text.replace(" ", MARK)) if text else ""
 
     def check(self) -> None:
         """Compares the segments that are new since the last call with the library.
@@ -96,14 +122,22 @@ class Pieces(dict):
         if self.new:
             text = "".join(s if s[0] == MARK else "\n" + s for s in self.new)
             text = text if text[0] == MARK else MARK + text
-            if self.library.encode(text[1:].replace(MARK, " ")) != self.encode_plainly(text):
+            if self.library.encode(text[1:].replace(MARK, " ")) != numbers(self.joined(text)):
                 raise ValueError("ids differ from the sentencepiece library's")
         self.new.clear()
-        if len(self) > self.limit:
+        if len(self) > self.limit:  # what isn't used again while as many come is forgotten
+            self.older = dict(self)
             self.clear()
 
-    def encode_plainly(self, marked: str) -> list[int]:
-        return list(chain.from_iterable(self[s][0] for s in self.cut.findall(marked)))
+
+def numbers(joined: str) -> list[int]:
+    return list(map(int, joined.split(","))) if joined else []
+
+
+@cache
+def pieces_of(model: str) -> Pieces:
+    """One table for all tasks that a worker process runs."""
+    return Pieces(model)
 
 
 def model_path(model: str | None) -> str:
@@ -127,15 +161,18 @@ def encoded(docs: DataFrame, model: str | None = None, ids: bool = True) -> Data
     kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_path(model))
+        pieces = pieces_of(model_path(model))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for text in batch["text"]:
-                own, joined = pieces.encode(text.as_py() or "")
+                joined = pieces.encode(text.as_py() or "")
+                own = numbers(joined)
                 back = pieces.library.decode(own) if own else ""
                 for column, value in zip(columns, (len(own), sha(joined), sha(back), own, back)):
                     column.append(value)
+                if len(pieces.new) > CHECK:
+                    pieces.check()
             pieces.check()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", *names])
 
