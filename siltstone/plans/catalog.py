@@ -524,14 +524,14 @@ def model_ranking(spark, d):
 
 def _clusters(spark, d):
     rows = document_examples(table(spark, d, "documents")).where(F.col("topic").isNotNull())
-    return planning.with_targets(planning.seed_profile(planning.with_cluster(rows)), 500)
+    return planning.with_targets(planning.seed_profile(planning.with_cluster(rows)), 500).cache()  # a small table, read several times
 
 
 def _accepted(spark, d):
     """Rows of labelled quality stand for accepted ones, thinned to the plan's size."""
     rows = planning.with_cluster(docs(spark, d).where((F.col("overall") == 9.0) & F.col("topic").isNotNull()))
     n = distribution.counts_by(rows, F.col("cluster_id"))
-    return n.withColumn("n", F.floor(F.col("n") / 10))
+    return n.withColumn("n", F.floor(F.col("n") / 10)).cache()
 
 
 @query(None)
