@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,14 @@ def positional(predictions: DataFrame, holdout: DataFrame, order: str = "ord") -
     """Pairs the rows of two tables by their place in ``order``; the longer one is cut.
 
     Places are numbered within ranges of ``order`` and shifted by the rows of the
-    ranges before, so that no task sorts a whole table.
+    ranges before, so that no task sorts a whole table. The ranges are dealt once, in
+    a copy in the shared folder: counts and rows of two exchanges may be cut apart.
     """
     def placed(df: DataFrame, side: str) -> DataFrame:
-        parts = df.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
+        sc = df.sparkSession.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        parts = df.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
         ranges = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"))
         before = ranges.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
         place = F.row_number().over(Window.partitionBy("part").orderBy(order)) + F.col("before")

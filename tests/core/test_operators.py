@@ -160,6 +160,23 @@ def test_evaluation(spark):
     assert (v["runs"], v["corr_uplift_f1"], v["corr_uplift_success"], v["corr_uplift_passed"]) == (2, 1.0, -1.0, None)
 
 
+def test_positional_keeps_all_rows_however_ranges_are_coalesced(spark, tmp_path):
+    wide = F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(" "), F.repeat(F.sha2(F.col("id").cast("string"), 512), 4))
+    spark.range(200_000, numPartitions=8).select((F.col("id") * 3).alias("ord"), wide.alias("text")).write.parquet(f"{tmp_path}/p")
+    spark.range(200_000, numPartitions=8).select(F.col("id").alias("ord"), wide.alias("assistant")).write.parquet(f"{tmp_path}/h")
+    p, h = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/h")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = evaluation.positional(p, h).agg(F.count(F.lit(1)), F.max("place"), F.count_distinct("place"), F.count_if(F.col("p_text") != F.col("h_assistant"))).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tuple(got) == (200_000, 200_000, 200_000, 0)
+
+
 def test_ranking(spark):
     rows = spark.createDataFrame([("a", "ok", 9.0, 0.9, 1.0), ("b", "ok", 8.0, 1.0, 2.0), ("c", "failed", 10.0, 1.0, 9.0)], "model string, status string, avg_quality_score double, pass_rate double, examples_per_second double")
     assert [(r["model"], r["composite"]) for r in ranking.ranked_models(rows).orderBy("place").collect()] == [("a", 0.5), ("b", 0.5)]
