@@ -4,6 +4,10 @@ Every line of a text, and every paragraph of several lines, is normalised and
 compared to the templates. A template is a candidate for a passage only if the
 numbers of bigrams allow the threshold: with a Dice coefficient of t at least,
 sizes differ by a factor of (2 - t) / t at most. All within the row: no shuffle.
+
+Notices that share their line or paragraph with other words, or are wrapped, are
+found by word windows over the whole text: a window begins and ends at bigrams of
+the template, since others at its ends only lower the coefficient.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table, text_of
 
+BLANK = r"\n[\x20\x09-\x0D]*\n"
+
 # Names and notices of public licenses.
 TEMPLATES = {
     "ARR": "All rights reserved.",
@@ -27,7 +33,19 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Whole licenses, for windows only.
+WHOLE = {
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
 THRESHOLD = 0.8
+HITS = "array<struct<passage:int,license:string,dice:double>>"
+
+
+def once(value: Column, of) -> Column:
+    """``of`` of a value that is computed once, however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -38,9 +56,15 @@ def template_bigrams(text: str) -> list[str]:
 
 def bigrams(passage: Column) -> Column:
     """The distinct pairs of neighbouring words of letters and digits, in lower case."""
-    words = F.filter(F.split(F.lower(passage), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.array_distinct(pairs[0])
+    return F.array_distinct(all_bigrams(passage))
+
+
+def words(passage: Column) -> Column:
+    return F.filter(F.split(F.lower(passage), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def all_bigrams(passage: Column) -> Column:
+    return once(words(passage), lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def passages(text: Column) -> Column:
@@ -49,7 +73,7 @@ def passages(text: Column) -> Column:
     return F.concat(F.filter(F.split(text, "\n"), lambda p: p != ""), F.when(F.regexp_like(text, F.lit(r"\n[\x20\x09-\x0D]*\n")), paragraphs).otherwise(F.array().cast("array<string>")))
 
 
-def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+def passage_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """array<struct<passage, license, dice>>: every passage with each template it resembles.
 
     ``passage`` counts from 0 through lines that aren't empty, then paragraphs. A
@@ -65,12 +89,97 @@ def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold:
             shared = F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in own])))
             dice = F.when(F.size(grams).between(len(own) * low, len(own) * high), 2.0 * shared / (F.size(grams) + len(own)))
             found.append(F.struct(place.alias("passage"), F.lit(name).alias("license"), dice.alias("dice")))
-        none = F.array().cast("array<struct<passage:int,license:string,dice:double>>")
+        none = F.array().cast(HITS)
         return F.when(F.size(grams).between(least, most), F.filter(F.array(*found), lambda x: x["dice"] >= threshold)).otherwise(none)
 
     return F.flatten(F.transform(F.transform(passages(text), bigrams), compare))
 
 
+def passage_places(text: Column) -> Column:
+    """array<struct<a, b>>: for each of :func:`passages` the first and last of the text's words, from 0."""
+
+    def places(pieces: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            end = acc["n"] + F.size(words(p))
+            place = F.struct(acc["n"].alias("a"), (end - 1).alias("b"), p.alias("p"))
+            return F.struct(end.alias("n"), F.concat(acc["out"], F.array(place)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<a:int,b:int,p:string>>").alias("out"))
+        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+    lines = places(F.filter(F.split(text, "\n"), lambda p: p != ""))
+    return F.concat(lines, F.filter(places(F.split(text, BLANK)), lambda x: F.contains(x["p"], F.lit("\n"))))
+
+
+def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
+    """Word windows of the whole text that resemble a template, as hits without a passage.
+
+    From every bigram of the template the best window is taken; of overlapping ones
+    of a template the best stays, and none that touches a passage that is a hit.
+    """
+    known = {k: g for k, t in sorted(templates.items()) if (g := template_bigrams(t))}
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    lists = lambda grams: F.split(F.lit(",".join(grams)), ",")
+    all_templates = F.array(*[F.struct(F.lit(k).alias("license"), lists(g).alias("own"), F.lit(len(g)).alias("n")) for k, g in known.items()])
+    every = lists(list(dict.fromkeys(x for g in known.values() for x in g)))
+    none = F.array().cast(HITS)
+
+    def best_from(marks: Column, start: Column, n: Column) -> Column:
+        """The best window from a mark: a bigram counts where it is first met in the window."""
+
+        def step(acc: Column, x: Column) -> Column:
+            new = x["last"] < start["i"]
+            size, shared = acc["size"] + new.cast("int"), acc["shared"] + (new & x["own"]).cast("int")
+            dice = 2.0 * shared / (size + n)
+            better = dice > acc["dice"]
+            return F.struct(size.alias("size"), shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["i"]).otherwise(acc["end"]).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
+        within = F.slice(marks, start["i"] + 1, F.floor(n * high + 1e-9).cast("int"))
+        return F.aggregate(within, zero, step, lambda acc: F.struct(start["i"].alias("a"), (acc["end"] + 1).alias("b"), acc["dice"].alias("dice")))
+
+    def apart(windows: Column) -> Column:
+        """Of overlapping windows (sorted by their start) the best, of equals the first."""
+
+        def step(acc: Column, x: Column) -> Column:
+            last = F.element_at(acc, -1)
+            kept = F.when(x["dice"] > last["dice"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
+            return F.when(F.size(acc) == 0, F.array(x)).when(x["a"] > last["b"], F.concat(acc, F.array(x))).otherwise(kept)
+
+        return F.aggregate(windows, F.array().cast("array<struct<a:int,b:int,dice:double>>"), step)
+
+    def of_template(t: Column, met: Column, taken: Column) -> Column:
+        def search(marks: Column) -> Column:
+            found = F.transform(F.filter(marks, lambda x: x["own"]), lambda x: best_from(marks, x, t["n"]))
+            free = F.filter(found, lambda x: (x["dice"] >= threshold) & ~F.exists(taken, lambda h: (h["license"] == t["license"]) & (h["a"] <= x["b"]) & (x["a"] <= h["b"])))
+            return F.transform(apart(free), lambda x: F.struct(F.lit(None).cast("int").alias("passage"), t["license"].alias("license"), x["dice"].alias("dice")))
+
+        marks = F.transform(met, lambda x: F.struct(x["i"].alias("i"), x["last"].alias("last"), F.array_contains(t["own"], x["g"]).alias("own")))
+        return once(marks, search)
+
+    def search_text(grams: Column, near: Column) -> Column:
+        ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        before = lambda o: F.concat(F.array(F.struct(F.lit("").alias("g"), F.lit(-1).alias("i"))), F.slice(o, 1, F.size(o) - 1))
+        met = once(ordered, lambda o: F.zip_with(o, before(o), lambda x, y: F.struct(x["i"].alias("i"), F.when(x["g"] == y["g"], y["i"]).otherwise(-1).alias("last"), x["g"].alias("g"))))
+        places = passage_places(text)
+        taken = F.when(F.size(hits) > 0, once(places, lambda ps: F.transform(hits, lambda h: F.struct(h["license"].alias("license"), F.element_at(ps, h["passage"] + 1)["a"].alias("a"), F.element_at(ps, h["passage"] + 1)["b"].alias("b")))))
+        no_hits = F.array().cast("array<struct<license:string,a:int,b:int>>")
+        return once(F.struct(F.array_sort(met).alias("met"), F.coalesce(taken, no_hits).alias("taken")), lambda x: F.flatten(F.transform(near, lambda t: of_template(t, x["met"], x["taken"]))))
+
+    def resembled(grams: Column) -> Column:
+        near = once(F.array_intersect(grams, every), lambda seen: F.when(F.size(seen) > 0, F.filter(all_templates, lambda t: F.size(F.array_intersect(seen, t["own"])) >= t["n"] * low - 1e-9)))
+        return once(near, lambda ts: F.when(F.size(F.coalesce(ts, F.array().cast(near_type))) > 0, search_text(grams, ts)).otherwise(none))
+
+    near_type = "array<struct<license:string,own:array<string>,n:int>>"
+    return once(all_bigrams(text), resembled)
+
+
+def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, whole: dict[str, str] = WHOLE) -> Column:
+    """:func:`passage_hits`, then :func:`window_hits` (``passage`` null) that they don't cover."""
+    both = lambda x: F.concat(x["hits"], window_hits(x["text"], x["hits"], {**templates, **whole}, threshold))
+    return once(F.struct(text.alias("text"), passage_hits(text, templates, threshold).alias("hits")), both)
+
+
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and hits, for each row of ``docs``; other columns aren't read."""
     return docs.select("doc_id", license_hits(text_of(docs), templates, threshold).alias("hits"))

@@ -127,3 +127,27 @@ def test_licenses(spark):
     hits = {r["doc_id"]: [(h["license"], round(h["dice"], 2)) for h in r["hits"]] for r in licenses.scanned(near).collect()}
     assert hits == {1: [("MIT-grant", 1.0)], 2: [("ARR", 1.0)], 3: []}
     assert licenses.scanned(empty(spark)).count() == 0
+
+
+def test_licenses_beside_other_words(spark):
+    mit = licenses.WHOLE["MIT-text"]
+    grant = mit[: mit.index("The above")]
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    cases = [
+        grant,
+        "Some words here. Released under the MIT License. More.",
+        "Copyright (c) 2024 Example Inc. All rights reserved.",
+        "import os\nx = 1 # see\n" + wrapped(licenses.TEMPLATES["Apache-2.0-header"], "# ") + "\n#\n# More of it.\nprint(x)",
+        " * Copyright Ann Lee\n *\n" + wrapped(mit, " * ") + "\n *\nint main() { return 0; }",
+        "Intro. " + licenses.WHOLE["BSD-3-Clause-text"] + " " + "word " * 50,
+        "All rights reserved.\nBy Ann. All rights reserved. More words follow here.",
+        "The rights of all are reserved for the use of others.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: [(h["license"], round(h["dice"], 2), h["passage"]) for h in r["hits"]] for r in licenses.scanned(docs).collect()}
+    assert got[0] == [("MIT-grant", 1.0, None)]
+    assert got[1] == [("MIT", 1.0, None)] and got[2] == [("ARR", 1.0, None)]
+    assert ("Apache-2.0-header", 1.0, None) in got[3]
+    assert got[4] == [("MIT-grant", 1.0, None), ("MIT-text", 1.0, None)]
+    assert got[5] == [("BSD-3-Clause", 1.0, None), ("BSD-3-Clause-text", 1.0, None)]
+    assert got[6] == [("ARR", 1.0, 0), ("ARR", 1.0, None)] and got[7] == []
