@@ -3,7 +3,8 @@
 Every stage takes (session, documents, folder) and returns rows with the columns of
 ``documents``, fewer or repeated; the last returns the token digests. Decisions are
 made on light columns and joined back by the row's id and a hash of its text, so
-rows that repeat an id stay apart if their texts differ.
+rows that repeat an id stay apart if their texts differ. A dedup stage keeps one row
+of each group, also where rows repeat both or have no id.
 """
 
 from __future__ import annotations
@@ -15,17 +16,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, quality, sentencepieces, simhash
-from siltstone.llm.common import table, text_of
+from siltstone.llm.common import checkpointed, table, text_of
 
 ID, KEY, TEXT = "pipeline row id", "pipeline row key", "pipeline row text"
 
 
 def _keep(docs: DataFrame, kept: DataFrame, text_hash) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, hash of the text) is among ``kept`` (doc_id, key)."""
-    # hashed on the light side, so that the rows with texts needn't be sorted
-    wanted = kept.select(F.col("doc_id").alias(ID), F.col("key").alias(KEY)).distinct().hint("shuffle_hash")
+    """One row of ``docs`` for each (doc_id, hash of the text) in ``kept`` (doc_id, key, n).
+
+    ``n`` is the number of rows that have both. Only those that repeat are grouped
+    with their texts, combined before they are shuffled; the least row stays.
+    """
+    wanted = checkpointed(kept.select(F.col("doc_id").alias(ID), F.col("key").alias(KEY), "n"))
     keyed = docs.withColumn(TEXT, text_hash)
-    return keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted[ID]) & (keyed[TEXT] == wanted[KEY]), "left_semi").drop(TEXT)
+
+    def found(side: DataFrame, how: str) -> DataFrame:
+        # hashed on the light side, so that the rows with texts needn't be sorted
+        side = side.drop("n").hint("shuffle_hash")
+        return keyed.join(side, keyed["doc_id"].eqNullSafe(side[ID]) & (keyed[TEXT] == side[KEY]), how)
+
+    repeated = wanted.where("n > 1")
+    single = found(wanted.where("n = 1"), "left_semi").drop(TEXT)
+    if repeated.isEmpty():
+        return single
+    row = F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row")
+    return single.union(found(repeated, "inner").groupBy(ID, KEY).agg(row).select("row.*"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +50,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id stays."""
+    """Of equal texts, one row with the smallest doc_id stays."""
     found = exact_dedup.find_copies(docs.select("doc_id", "text")).where("kept")
-    return _keep(docs, found.select("doc_id", "key"), F.xxhash64(exact_dedup.normalised(docs)))
+    return _keep(docs, found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), F.xxhash64(exact_dedup.normalised(docs)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the smallest doc_id."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _keep(docs, kept.select("doc_id", "key"), F.xxhash64(text_of(docs)))
+    """One row of each group of linked fingerprints stays: one with the smallest doc_id."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"), roots=True)
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = least.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("x")).select("x.*")
+    return _keep(docs, kept, F.xxhash64(text_of(docs)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

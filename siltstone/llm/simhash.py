@@ -137,9 +137,12 @@ def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, roots: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (hash of the text), fp (signed), component_id.
 
+    With ``roots`` also root, a fingerprint that tells components apart even if they
+    share an id or have none.
+
     Texts without words (null, empty, white space) have fingerprint 0 and are linked
     like any other. The component's id is the smallest doc_id reachable, null ids
     counting only where there are no others; rows that repeat share a component.
@@ -147,11 +150,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     """
     fps = checkpointed(fingerprints(docs))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), distance, bucket))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = components(links(classes.select("fp"), distance, bucket))
+    joined = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = checkpointed(joined.join(least, "root").select("fp", "component_id"))
-    return fps.join(small(of_class), "fp").select("doc_id", "key", "fp", "component_id")
+    more = ["root"] if roots else []
+    of_class = checkpointed(joined.join(least, "root").select("fp", "component_id", *more))
+    return fps.join(small(of_class), "fp").select("doc_id", "key", "fp", "component_id", *more)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

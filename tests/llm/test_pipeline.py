@@ -67,3 +67,21 @@ def test_stages_take_awkward_tables(spark, sf_dir):
         assert stage(spark, awkward(spark), sf_dir).count() > 0
         assert stage(spark, spark.createDataFrame([], SCHEMA), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, awkward(spark), sf_dir).columns == awkward(spark).columns
+
+
+def test_dedup_stages_keep_one_row_of_repeats_and_null_ids(spark, sf_dir):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = awkward(spark)
+    docs = docs.union(docs)
+    rows = docs.collect()
+    exact = [body(r["text"]) for r in stages["exact_dedup"](spark, docs, sf_dir).collect()]
+    assert sorted(exact) == sorted({body(r["text"]) for r in rows})
+    near_rows = stages["near_dedup"](spark, docs, sf_dir).collect()
+    prints = {simhash.fingerprint(r["text"]) for r in rows}
+    assert not any(a < b and near(a, b) for a in prints for b in prints)
+    assert sorted(simhash.fingerprint(r["text"]) for r in near_rows) == sorted(prints)
+
+    text = "one of two texts that differ by nothing but the white space in them"
+    loose = spark.createDataFrame([(None, text, *[None] * 9), (None, text.replace(" ", "  "), *[None] * 9), (None, text, *[None] * 9)], SCHEMA)
+    assert stages["exact_dedup"](spark, loose, sf_dir).count() == 1
+    assert stages["near_dedup"](spark, loose, sf_dir).count() == 1
