@@ -12,14 +12,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every neighbour that is larger than a node to the node's least neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where(F.col("b") > F.col("a")).join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbours to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    """Links a node (a) and its smaller neighbours (b) to the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -28,17 +27,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Rounds of large star and small star, each on at most as many edges as before,
     until the edges are stars; a hub is never gathered in one task: its least
-    neighbour is an aggregate, and joins on it can be split. Nodes without an edge
-    to another node don't appear. No pass holds more than (node, node) rows.
+    neighbour is an aggregate, and joins on it can be split. All joins are sorted, so
+    that none is broadcast by way of the driver. Nodes without an edge to another
+    node don't appear; null and repeated edges count for nothing; an empty table
+    gives an empty result.
     """
     clean = lambda e: e.where(F.col("a") != F.col("b")).distinct()
     edges = checkpointed(clean(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     mark = None
     for _ in range(max_rounds):
-        edges = checkpointed(clean(_small_star(clean(_large_star(edges)))))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
         mark = now
+        edges = checkpointed(clean(_small_star(_large_star(edges))))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

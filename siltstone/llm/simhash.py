@@ -14,6 +14,10 @@ Their fingerprints are linked exactly in another way: two of them differ in at m
 4 bits if and only if some value lies within 2 bits of both. Each emits the 2081
 values within 2 bits of itself, and those that share a value are linked to the
 least of them: the rows grow with the group, not with its square.
+
+Links are thinned before they are written: a fingerprint has at most some thousand
+smaller neighbours here, which are tied to the least of them. All joins are sorted
+and shuffled, so that nothing that grows with the input is built on the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, small, table, text_of
+from siltstone.llm.common import checkpointed, table, text_of
 from siltstone.llm.components import components
 
 BITS = 64
@@ -112,28 +116,40 @@ def near_values(distance: int) -> list[int]:
     return [signed(sum(1 << b for b in bits)) for n in range(distance + 1) for bits in combinations(range(BITS), n)]
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Ties each node's smaller neighbours, and itself, to the least of them: as connected
+    as ``edges`` (a > b), with about one edge for each node.
+
+    A node's neighbours are gathered in an array, so their number must be bounded.
+    """
+    below = edges.groupBy("a").agg(F.collect_set("b").alias("low")).withColumn("b", F.array_min("low"))
+    tied = F.array_append(F.array_remove("low", F.col("b")), F.col("a"))
+    return below.select(F.explode(tied).alias("a"), "b").distinct()
+
+
 def links(classes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``classes`` (distinct values of fp).
 
-    All pairs within ``distance`` bits that share no large bucket; those of large
-    buckets are connected through edges to common neighbours' least members, so
-    components lose no link. Every edge is within ``distance`` bits.
+    a is the larger, and every edge is within ``distance`` bits. All such pairs that
+    share no large bucket are there; those of large buckets are connected through
+    shared values within half the distance, so components lose no link. A fingerprint
+    has less than ``bucket`` smaller neighbours for each of the 35 keys, and at most
+    one for each of the values within half the distance.
     """
     keys = chain_keys(distance)
     masks = [F.struct(F.lit(i).alias("c"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, (s, m) in enumerate(keys)]
     keyed = classes.select("fp", F.explode(F.array(*masks)).alias("x")).select("fp", "x.c", "x.start", "x.part")
     shared = keyed.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = checkpointed(keyed.join(shared, ["c", "part"]))
+    met = checkpointed(keyed.join(shared.hint("merge"), ["c", "part"]))
     few, many = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
     other = few.select("c", "part", F.col("fp").alias("b"))
     diff = F.col("fp").bitwiseXOR(F.col("b"))
-    pairs = few.join(other, ["c", "part"]).where((F.col("fp") < F.col("b")) & chain_holds(diff, F.col("start"), distance)).select(F.col("fp").alias("a"), "b")
+    pairs = few.join(other.hint("merge"), ["c", "part"]).where((F.col("fp") > F.col("b")) & chain_holds(diff, F.col("start"), distance)).select(F.col("fp").alias("a"), "b")
 
-    hot = checkpointed(many.select("fp").distinct())
     near = F.split(F.lit(",".join(map(str, near_values(distance // 2)))), ",").cast("array<bigint>")
-    spread = hot.repartition("fp").select("fp", F.explode(near).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("middle"))
+    spread = many.select("fp").distinct().select("fp", F.explode(near).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("middle"))
     hubs = spread.groupBy("middle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    stars = spread.join(hubs, "middle").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
+    stars = spread.join(hubs.hint("merge"), "middle").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
     return pairs.union(stars).distinct()
 
 
@@ -144,20 +160,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     share an id or have none.
 
     Texts without words (null, empty, white space) have fingerprint 0 and are linked
-    like any other. The component's id is the smallest doc_id reachable, null ids
-    counting only where there are no others; rows that repeat share a component.
-    An empty table gives an empty result; other columns aren't read.
+    like any other; of very long texts every shingle counts. The component's id is
+    the smallest doc_id reachable, null ids counting only where there are no others;
+    rows that repeat, and texts that tie in fingerprint, share a component. An empty
+    table gives an empty result; other columns, whatever their names, aren't read.
     """
     fps = checkpointed(fingerprints(docs))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(links(classes.select("fp"), distance, bucket))
-    joined = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = components(thinned(links(classes.select("fp"), distance, bucket)))
+    joined = classes.join(linked.hint("merge"), classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     more = ["root"] if roots else []
-    of_class = checkpointed(joined.join(least, "root").select("fp", "component_id", *more))
-    return fps.join(small(of_class), "fp").select("doc_id", "key", "fp", "component_id", *more)
+    of_class = joined.join(least.hint("merge"), "root").select("fp", "component_id", *more)
+    return fps.join(of_class.hint("merge"), "fp").select("doc_id", "key", "fp", "component_id", *more)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hexadecimal digits) and component_id of each row of
+    ``documents``. Null, empty, repeated and tied texts as in :func:`near_duplicates`."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

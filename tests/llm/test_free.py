@@ -68,6 +68,20 @@ def test_links_lose_no_component(spark, bucket):
     assert all(bin((r["a"] ^ r["b"]) & (2**64 - 1)).count("1") <= 4 for r in edges.collect())
     found = {v: v for v in values} | {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert found == plain_roots(values)
+    thin = simhash.thinned(edges)
+    assert found == {v: v for v in values} | {r["node"]: r["root"] for r in components.components(thin).collect()}
+    assert thin.count() <= edges.count()
+
+
+def test_fingerprints_and_components_of_a_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in docs}
+    roots = plain_roots(sorted({simhash.signed(v) for v in prints.values()}))
+    least = {}
+    for i, v in sorted(prints.items()):
+        least.setdefault(roots[simhash.signed(v)], i)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op3_simhash(spark, sf_dir).collect()}
+    assert got == {i: (f"{v:016x}", least[roots[simhash.signed(v)]]) for i, v in prints.items()}
 
 
 def test_components_of_a_long_chain(spark):
