@@ -1,14 +1,19 @@
 """Personal data: regular spans, and a bootstrapped contextual extraction beyond them.
 
 Base spans (emails, IP addresses, card and phone numbers) are found by pattern and
-checked by rule. They are the seeds of the bootstrap: the words beside them induce
-lexical patterns ("the word before is card:"), and every token with a digit or an
-at sign that isn't a seed is a candidate instance of the patterns around it. Spark
-scores the pattern-instance graph in rounds: a pattern's confidence is the share of
-the occurrences of its word, counted over the whole corpus, beside which a known
-instance of the kind stands; a candidate's score is one less the product of its
-patterns' doubts. Candidates that score high and have the kind's shape become
-instances, which lend their other patterns weight in the next round.
+checked by rule. Beside them every mention that has a digit or an at sign (a word, or
+digits in groups) is a possible instance of the kinds whose loose shape it has. What
+stands around a mention and what it looks like are its lexical patterns: the word or
+two words before, the word after, both sides, the name it is assigned to, and its
+shape. Mentions that are base spans by themselves, and secrets of a public format, are
+the seeds.
+
+Spark scores the pattern-instance graph in rounds. A pattern's confidence in a kind is
+the share of known instances among those that it extracts, instances that are known as
+another kind counting in full against it and unknown ones in part. A candidate's score
+is one less the product of its patterns' doubts. Candidates that score high become
+instances, which lend their other patterns weight in the next round, until a round
+finds none.
 
 All of it is DataFrame functions. The graph is aggregated to (pattern, instance)
 before the rounds, so a word that stands beside a third of all identifiers is one
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import BROADCAST_ROWS, checkpointed, small, table, text_of
+from siltstone.llm.common import checkpointed, small, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,13 +39,25 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
-ROUNDS = 3
-MIN_CONFIDENCE = 0.5  # of a pattern
-MIN_INSTANCES = 5  # distinct ones, of a pattern
-MIN_SCORE = 0.6  # of a candidate
+# Groups of digits with blanks, brackets, dots and hyphens between; else a word.
+MENTION = r"(?<![^\x20\x09-\x0D])(?:[(+]{0,2}[0-9]++(?:[\x20().-]{1,2}[0-9]++)++(?![\p{L}0-9@])|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: What a word assigns its value to, or opens it with: ``password=``, ``mailto:``, a quote.
+HEAD = r"^[^0-9@=:]*+[=:][^\p{L}\p{N}+]*+|^[^\p{L}\p{N}+(]++"
+MIXED = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])"
+
+#: Kinds beyond the base ones, which the bootstrap alone finds.
+FOUND_KINDS = (*KINDS, "secret")
+# Public formats of secrets, the seeds of that kind.
+SECRET = MIXED + r"(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16})$"
+
+MIN_CONFIDENCE = 0.6  # of a pattern
+MIN_INSTANCES = 5  # distinct known ones, of a pattern
+MIN_SCORE = 0.7  # of a candidate
+UNKNOWN = 0.25  # weight against a pattern of an instance of no known kind
+LONGEST = 320  # characters of a mention that has a shape; emails have at most 254
+PATTERN_CHARS = 64  # longer patterns are told apart by a hash
 
 MATCH = "struct<s:int,e:int,v:string,before:string,after:string>"
 
@@ -56,31 +73,56 @@ def is_valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def has_shape(kind: Column, value: Column) -> Column:
-    """Whether a token can be of the kind, more loosely than the base patterns."""
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    return (
-        F.when(kind == "email", F.contains(value, F.lit("@")) & (F.length(value) >= 5))
-        .when(kind == "ip", F.regexp_like(value, F.lit(r"[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){3,}")))
-        .when(kind == "card", digits.between(12, 19))
-        .otherwise(digits.between(7, 15))
-    )
+def shaped_kinds(core: Column) -> Column:
+    """array<int>: the kinds that a mention can be of, more loosely than the base patterns."""
+    digits = F.length(F.regexp_replace(core, "[^0-9]", ""))
+    loose = [
+        F.regexp_like(core, F.lit(r"^[^@]++@[^@]*\.[^@]++$")),
+        F.regexp_like(core, F.lit(r"^[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){3,}$")),
+        digits.between(12, 19) & F.regexp_like(core, F.lit(r"^[0-9 .-]++$")),
+        digits.between(7, 15) & F.regexp_like(core, F.lit(r"^[0-9 ().+-]++$")),
+        F.regexp_like(core, F.lit(MIXED + r"[0-9A-Za-z+/_-]{12,}$")),
+    ]
+    kinds = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(loose)]))
+    return F.when(F.length(core).between(5, LONGEST), kinds).otherwise(F.array().cast("array<int>"))
+
+
+def seed_kinds(core: Column) -> Column:
+    """array<int>: the kinds that a mention is by the base rules, or by a public format."""
+    whole = {**PATTERNS, "card": r"[0-9](?:[\x20-]?[0-9])+"}
+    tests = [F.regexp_like(core, F.lit(f"^(?:{whole[k]})$")) & is_valid(k, core) for k in KINDS]
+    tests.append(F.regexp_like(core, F.lit(SECRET)))
+    return F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(tests)]))
+
 
+def shape(core: Column) -> Column:
+    """What a mention looks like: the alphabet of long mixed codes, else classes of characters."""
+    classes = core
+    for pattern, to in (("[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{L}+", "a")):
+        classes = F.regexp_replace(classes, pattern, to)
+    code = lambda letters: F.regexp_like(core, F.lit(MIXED + f"[0-9{letters}]{{12,}}$"))
+    return F.when(code("a-f"), "hex").when(code("A-Z"), "upper").when(code("A-Za-z"), "code").otherwise(classes)
 
-def matches(text: Column, found: Column, pieces: Column) -> Column:
+
+def matches(text: Column, found: Column, pieces: Column, beside: bool = False) -> Column:
     """array<MATCH> from the matches of a pattern and the pieces of text between them.
 
     Positions are running sums of the pieces' and matches' lengths, in code points.
+    With ``beside``, also the whole words next to a match: two before, one after.
     """
     empty = F.array().cast(f"array<{MATCH}>")
     n = F.size(found)
-    beside = F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    steps = F.zip_with(beside, found, lambda p, v: F.struct(p["a"].alias("a"), p["b"].alias("b"), v.alias("v")))
+    sides = F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    steps = F.zip_with(sides, found, lambda p, v: F.struct(p["a"].alias("a"), p["b"].alias("b"), v.alias("v")))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["a"])
         e = s + F.length(x["v"])
-        hit = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), F.substring(x["a"], -64, 64).alias("before"), F.substring(x["b"], 1, 64).alias("after"))
+        before, after = F.lit(""), F.lit("")
+        if beside:
+            before = F.regexp_extract(x["a"], r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){1,2}+$", 0)
+            after = F.regexp_extract(x["b"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)
+        hit = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(hit.cast(MATCH))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -88,134 +130,130 @@ def matches(text: Column, found: Column, pieces: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind number, s, e, v, before, after), tokens (array<MATCH>)."""
+    """doc_id, base (array of k, s, e), mentions (array<MATCH>)."""
     df = docs.select("doc_id", text_of(docs).alias("body"))
     needed = {"email": F.contains("body", F.lit("@")), "phone": F.contains("body", F.lit("+"))}
-    patterns = {**PATTERNS, "token": TOKEN}
+    patterns = {**PATTERNS, "mention": MENTION}
     for kind, pattern in patterns.items():
         found = F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
         df = df.withColumn(f"m_{kind}", F.when(needed[kind], found).otherwise(F.array().cast("array<string>")) if kind in needed else found)
     for kind, pattern in patterns.items():
         pieces = F.when(F.size(f"m_{kind}") > 0, F.split("body", pattern, -1))
         df = df.withColumn(f"p_{kind}", pieces)
-    df = df.select("doc_id", *[matches(F.col("body"), F.col(f"m_{k}"), F.col(f"p_{k}")).alias(k) for k in patterns])
+    df = df.select("doc_id", *[matches(F.col("body"), F.col(f"m_{k}"), F.col(f"p_{k}"), k == "mention").alias(k) for k in patterns])
+
     def checked(number: int, kind: str) -> Column:
         valid = F.filter(F.col(kind), lambda x: is_valid(kind, x["v"]))
-        return F.transform(valid, lambda x: F.struct(F.lit(number).alias("k"), *[x[c].alias(c) for c in ("s", "e", "v", "before", "after")]))
+        return F.transform(valid, lambda x: F.struct(F.lit(number).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
     kept = [checked(i, k) for i, k in enumerate(KINDS)]
-    return df.select("doc_id", F.concat(*kept).alias("base"), F.col("token").alias("tokens"))
-
-
-def contexts(at: Column) -> Column:
-    """array<string>: the words before and after a match, as patterns; none at an edge."""
-    before = F.regexp_extract(at["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    after = F.regexp_extract(at["after"], r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
-    both = F.array(F.when(before != "", F.concat(F.lit("L "), F.lower(before))), F.when(after != "", F.concat(F.lit("R "), F.lower(after))))
-    return F.array_compact(both)
-
-
-def word_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, total) for the wanted words, over all whole texts; in lower case.
-
-    A small list is broadcast, so that only its words are counted; beyond that all
-    words are counted, combined before they are shuffled, and then looked up.
-    """
-    words = docs.select(F.explode(F.split(F.lower(text_of(docs)), r"[\x20\x09-\x0D]+")).alias("word"))
-    total = F.count(F.lit(1)).alias("total")
-    if wanted.count() <= BROADCAST_ROWS:
-        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(total)
-    return words.groupBy("word").agg(total).join(wanted, "word", "left_semi")
-
-
-def bootstrap(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES, min_score: float = MIN_SCORE) -> DataFrame:
-    """(kind number k, instance) of the unseen identifiers that the rounds discover.
-
-    ``spans`` is a checkpointed :func:`with_spans` with a column ``free``, the tokens
-    that no base span touches. An empty result comes back if no pattern is supported.
+    return df.select("doc_id", F.concat(*kept).alias("base"), F.col("mention").alias("mentions"))
+
+
+def mentions_of(spans: DataFrame) -> DataFrame:
+    """row, s, e (of the mention without what it is assigned to or enclosed in), instance
+    (in lower case), kinds, seeds (array<int>), patterns (array<string>), for every
+    mention of a checkpointed :func:`with_spans` that has the shape of a kind."""
+    rows = spans.select("row", F.explode("mentions").alias("x")).select("row", "x.*")
+    # digits in groups keep their bracket or plus; what encloses a word goes
+    rows = rows.withColumn("head", F.regexp_extract("v", HEAD, 0)).withColumn("core", F.regexp_replace(F.expr("substr(v, length(head) + 1)"), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
+    rows = rows.withColumn("s", F.col("s") + F.length("head")).withColumn("e", F.col("s") + F.length("core")).withColumn("kinds", shaped_kinds(F.col("core"))).where(F.size("kinds") > 0)
+    left = F.array_compact(F.transform(F.split(F.lower("before"), r"[\x20\x09-\x0D]++"), lambda w: F.nullif(w, F.lit(""))))
+    rows = rows.withColumn("left", left).withColumn("l1", F.get("left", F.size("left") - 1)).withColumn("r1", F.nullif(F.lower("after"), F.lit("")))
+    named = {
+        "L": F.col("l1"),
+        "M": F.when(F.size("left") == 2, F.array_join("left", " ")),
+        "R": F.col("r1"),
+        "B": F.when(F.col("l1").isNotNull() & F.col("r1").isNotNull(), F.concat_ws(" _ ", "l1", "r1")),
+        "H": F.nullif(F.regexp_extract(F.lower("head"), r"[\p{L}\p{N}].*", 0), F.lit("")),
+        "S": shape(F.col("core")),
+    }
+    short = lambda c: F.when(F.length(c) > PATTERN_CHARS, F.md5(c)).otherwise(c)
+    patterns = F.array_compact(F.array(*[F.concat(F.lit(f"{n} "), short(c)) for n, c in named.items()]))
+    return rows.select("row", "s", "e", F.lower("core").alias("instance"), "kinds", seed_kinds(F.col("core")).alias("seeds"), patterns.alias("patterns"))
+
+
+def bootstrap(mentions: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES, min_score: float = MIN_SCORE, unknown: float = UNKNOWN, hidden: Column | None = None) -> DataFrame:
+    """(k, instance): the seeds, and the unseen identifiers that the rounds discover.
+
+    ``mentions`` is a checkpointed :func:`mentions_of`. Seeds of which ``hidden`` (a
+    condition on the instance) holds are treated as unknown, to measure how many are
+    found again. Without seeds the result is empty.
     """
-    edges = checkpointed(
-        spans.select(F.explode("base").alias("x"))
-        .select(F.col("x.k").alias("k"), F.lower("x.v").alias("instance"), F.explode(contexts(F.col("x"))).alias("pattern"))
-        .groupBy("k", "pattern", "instance")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    loose = checkpointed(
-        spans.select(F.explode("free").alias("x"))
-        .select(F.lower("x.v").alias("instance"), F.explode(contexts(F.col("x"))).alias("pattern"))
-        .groupBy("pattern", "instance")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # patterns that can ever be trusted stand beside enough distinct seeds or candidates of one kind
-    kinds = F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))]))
-    names = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k") + 1)
-    candidates = loose.withColumn("k", kinds).where(has_shape(names, F.col("instance")))
-    graph = edges.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False)).select("k", "pattern", "instance", "n", "seed"))
-    able = graph.groupBy("k", "pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"), F.max("seed").alias("seeded")).where((F.col("instances") >= min_instances))
-    able = checkpointed(able.withColumn("word", F.substring("pattern", 3, 1 << 30)))
-    totals = word_totals(docs, able.select("word").distinct())
-    # counted over the corpus, a word's occurrences bound the confidence of its pattern
-    able = checkpointed(able.join(totals, "word").where(F.col("n") >= min_confidence * F.col("total")).select("k", "pattern", "total"))
-    graph = checkpointed(graph.join(small(able), ["k", "pattern"]))
-
-    known = edges.sparkSession.createDataFrame([], "k int, instance string")
-    for _ in range(rounds):
-        sure = graph.join(small(known).withColumn("found", F.lit(True)), ["k", "instance"], "left").where(F.col("seed") | F.col("found").isNotNull())
+    seen = F.lit(True) if hidden is None else ~hidden
+    instances = checkpointed(mentions.groupBy("instance").agg(F.min("kinds").alias("kinds"), F.min(F.when(seen, F.col("seeds"))).alias("seeds")))
+    known = checkpointed(instances.select(F.explode("seeds").alias("k"), "instance"))
+    # (pattern, instance) once, whatever the number of mentions; patterns of too few instances can't count
+    graph = mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct()
+    able = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_instances).select("pattern")
+    graph = graph.join(able, "pattern").join(instances.select("instance", F.explode("kinds").alias("k")), "instance")
+    graph = checkpointed(graph.select("k", "pattern", "instance"))
+    found = known.count()
+    while found:
+        kinds = known.groupBy("instance").agg(F.collect_set("k").alias("known"))  # at most one for each kind
+        judged = graph.join(kinds, "instance", "left")
+        own = F.coalesce(F.array_contains("known", F.col("k")), F.lit(False))
         trusted = (
-            sure.groupBy("k", "pattern")
-            .agg(F.count(F.lit(1)).alias("instances"), (F.sum("n") / F.max("total")).alias("confidence"))
-            .where((F.col("instances") >= min_instances) & (F.col("confidence") >= min_confidence))
+            judged.groupBy("k", "pattern")
+            .agg(F.count_if(own).alias("own"), F.count_if(~own & F.col("known").isNotNull()).alias("other"), F.count_if(F.col("known").isNull()).alias("open"))
+            .where(F.col("own") >= min_instances)
+            .select("k", "pattern", (F.col("own") / (F.col("own") + F.col("other") + unknown * F.col("open"))).alias("confidence"))
+            .where(F.col("confidence") >= min_confidence)
         )
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        known = checkpointed(
-            graph.where(~F.col("seed"))
-            .join(small(checkpointed(trusted)).drop("instances"), ["k", "pattern"])
+        new = (
+            judged.where(F.col("known").isNull())
+            .join(small(checkpointed(trusted)), ["k", "pattern"])
             .groupBy("k", "instance")
             .agg((1 - doubt).alias("score"))
             .where(F.col("score") >= min_score)
             .select("k", "instance")
         )
+        new = checkpointed(new)
+        found = new.count()
+        known = checkpointed(known.union(new)) if found else known
     return known
 
 
 def spans_text(spans: Column) -> Column:
     """kind:start:end of (k, s, e) sorted by kind, then start, joined by commas."""
-    name = F.array(*[F.lit(k) for k in KINDS])
+    name = F.array(*[F.lit(k) for k in FOUND_KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def detect(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and found, arrays of (k, s, e) with k
-    the kind's number in KINDS; positions are code points, the end exclusive.
+    the kind's number in FOUND_KINDS; positions are code points, the end exclusive.
 
     A null or empty text has no spans, an empty table no rows; rows that repeat are
-    judged alike; other columns of ``docs`` aren't read. Base spans never change.
-    A token that a base span touches is never found; one that is an instance of
-    several kinds is found as each of them.
+    judged alike; of very long texts every mention counts, and neighbouring words are
+    whole words whatever their length; other columns of ``docs``, whatever their
+    names, aren't read. Base spans never change. A mention that a base span touches
+    is never found; one that scores as several kinds (a tie) is found as each.
     """
-    spans = with_spans(docs).withColumn(
-        "free", F.filter("tokens", lambda t: ~F.exists(F.col("base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    )
-    spans = checkpointed(spans.drop("tokens").withColumn("row", F.monotonically_increasing_id()))
-    known = bootstrap(docs, spans, **options)
-    hits = (
-        spans.select("row", F.explode("free").alias("x"))
-        .withColumn("instance", F.lower("x.v"))
-        .join(small(known), "instance")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("k", F.col("x.s").alias("s"), F.col("x.e").alias("e"))).alias("found"))
-    )
-    place = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+    spans = checkpointed(with_spans(docs).withColumn("row", F.monotonically_increasing_id()))
+    mentions = checkpointed(mentions_of(spans))
+    known = bootstrap(mentions, **options)
+    place = F.struct("k", "s", "e")
+    hits = mentions.where(F.size("seeds") == 0).join(small(known), "instance")
+    secrets = mentions.select("row", "s", "e", F.explode("seeds").alias("k")).where(F.col("k") >= len(KINDS))
+    hits = hits.select("row", "k", "s", "e").union(secrets.select("row", "k", "s", "e")).groupBy("row").agg(F.collect_list(place).alias("found"))
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    return spans.select("row", "doc_id", F.transform("base", place).alias("base")).join(hits, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
+    apart = F.filter("found", lambda f: ~F.exists("base", lambda b: (b["s"] < f["e"]) & (f["s"] < b["e"])))
+    return spans.select("row", "doc_id", "base").join(hits, "row", "left").select("doc_id", "base", F.coalesce(apart, none).alias("found"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row of ``documents``: doc_id, the numbers of base spans by kind, the digest
+    of the base spans, all spans, and the number of spans that the bootstrap adds.
+    Null, empty, very long and repeated texts as in :func:`detect`."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.array_remove(F.transform("base", lambda x: x["k"] == F.lit(i)), False)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda x, i=i: x["k"] == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.concat("base", "found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+        F.size(F.concat("base", "found")).cast("long").alias("n_spans"),
     )
