@@ -57,38 +57,51 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """Adds size, source_size, target and copies (0 or more) to the columns of ``docs``.
-
-    Sizes are counted in words. A null or empty text has size 0; a null source is
-    a source of its own. Rows without doc_id draw by their text; rows that repeat
-    a doc_id draw alike. The per-source table is broadcast if a count shows it
-    small; else the join is shuffled, with skewed sources split by AQE.
-    Columns of ``docs`` with those four names are replaced.
+#: Working columns; documents may have columns of any other name.
+SIZE, SOURCE, TOTAL, TARGET, COPIES = (f"mixing {x}" for x in ("size", "source", "source size", "target", "copies"))
+
+
+def counted(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """``docs``, untouched, with the working columns SIZE, TOTAL, TARGET and COPIES added.
+
+    Sizes are counted in words, in whole texts however long. A null or empty text has
+    size 0; a null source is a source of its own. Rows without doc_id draw by their
+    text; rows that repeat a doc_id draw alike. Sources of size 0 have rate 0. An
+    empty table gives an empty result. The per-source table is broadcast if a count
+    shows it small; else the join is shuffled, with skewed sources split by AQE.
     """
-    names = ("size", "source_size", "target", "copies")
-    base = docs.drop(*[c for c in docs.columns if c.lower() in names]).withColumn("size", word_count(text_of(docs)))
-    per_source = base.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = checkpointed(source_targets(per_source, weights, budget, cap)).withColumnRenamed("source", "target_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text|"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    copies = F.floor(F.col("rate")) + (draw(key, seed) < F.col("rate") - F.floor(F.col("rate"))).cast("long")
-    return (
-        base.join(small(targets), base["source"].eqNullSafe(targets["target_source"]))
-        .withColumn("rate", rate)
-        .withColumn("copies", copies)
-        .drop("target_source", "rate")
-    )
+    base = docs.withColumn(SIZE, word_count(text_of(docs)))
+    per_source = base.groupBy(base["source"].alias("source")).agg(F.sum(base[SIZE]).alias("source_size"))
+    targets = checkpointed(source_targets(per_source, weights, budget, cap))
+    targets = targets.select(F.col("source").alias(SOURCE), F.col("source_size").alias(TOTAL), F.col("target").alias(TARGET))
+    joined = base.join(small(targets), base["source"].eqNullSafe(targets[SOURCE]))
+    rate = F.when(F.col(TOTAL) > 0, F.col(TARGET) / F.col(TOTAL)).otherwise(F.lit(0.0))
+    key = F.coalesce(joined["doc_id"].cast("string"), F.concat(F.lit("text|"), F.md5(text_of(docs))))
+    return joined.withColumn(COPIES, F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).drop(SOURCE)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """:func:`counted` with the results named size, source_size, target and copies (0 or
+    more), beside the other columns of ``docs``; its columns of those names are replaced."""
+    names = {"size": SIZE, "source_size": TOTAL, "target": TARGET, "copies": COPIES}
+    found = counted(docs, **options)
+    return found.select(*[found[c] for c in docs.columns if c.lower() not in names], *[found[c].alias(n) for n, c in names.items()])
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    return mixed(docs, **options).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Nulls, empty, very long and repeated texts as in :func:`counted`.
+    """
+    found = counted(docs, **options)
+    return found.withColumn("mixing copy", F.explode(F.array_repeat(F.lit(1), F.col(COPIES).cast("int")))).select(*[found[c] for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """Of each row of ``documents``: doc_id, its size, its source's size and target, and the
+    words that the mix takes of it. Null, empty and repeated rows as in :func:`counted`."""
+    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE = rf"""
