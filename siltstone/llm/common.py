@@ -39,6 +39,14 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as make them differ from all columns."""
+    taken, mark = {c.lower() for c in df.columns}, ""
+    while taken & {f"{mark}{n}".lower() for n in names}:
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, small, table, text_of, word_count
+from siltstone.llm.common import checkpointed, free_names, small, table, text_of, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -57,12 +57,9 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-#: Working columns; documents may have columns of any other name.
-SIZE, SOURCE, TOTAL, TARGET, COPIES = (f"mixing {x}" for x in ("size", "source", "source size", "target", "copies"))
-
-
-def counted(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``docs``, untouched, with the working columns SIZE, TOTAL, TARGET and COPIES added.
+def counted(docs: DataFrame, names: list[str], weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """``docs``, untouched, with its size, its source's size and target, and its copies
+    under four ``names`` that no column has.
 
     Sizes are counted in words, in whole texts however long. A null or empty text has
     size 0; a null source is a source of its own. Rows without doc_id draw by their
@@ -70,22 +67,27 @@ def counted(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float
     empty table gives an empty result. The per-source table is broadcast if a count
     shows it small; else the join is shuffled, with skewed sources split by AQE.
     """
-    base = docs.withColumn(SIZE, word_count(text_of(docs)))
-    per_source = base.groupBy(base["source"].alias("source")).agg(F.sum(base[SIZE]).alias("source_size"))
+    size, total, target, copies = names
+    of_source, drawn = free_names(docs.select("*", *[F.lit(0).alias(n) for n in names]), "of source", "drawn")
+    key = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text|"), F.md5(text_of(docs))))
+    base = docs.withColumn(drawn, draw(key, seed)).withColumn(size, word_count(text_of(docs)))
+    per_source = base.groupBy(base["source"].alias("source")).agg(F.sum(base[size]).alias("source_size"))
     targets = checkpointed(source_targets(per_source, weights, budget, cap))
-    targets = targets.select(F.col("source").alias(SOURCE), F.col("source_size").alias(TOTAL), F.col("target").alias(TARGET))
-    joined = base.join(small(targets), base["source"].eqNullSafe(targets[SOURCE]))
-    rate = F.when(F.col(TOTAL) > 0, F.col(TARGET) / F.col(TOTAL)).otherwise(F.lit(0.0))
-    key = F.coalesce(joined["doc_id"].cast("string"), F.concat(F.lit("text|"), F.md5(text_of(docs))))
-    return joined.withColumn(COPIES, F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).drop(SOURCE)
+    targets = targets.select(F.col("source").alias(of_source), F.col("source_size").alias(total), F.col("target").alias(target))
+    joined = base.join(small(targets), base["source"].eqNullSafe(targets[of_source]))
+    rate = F.when(joined[total] > 0, joined[target] / joined[total]).otherwise(F.lit(0.0))
+    return joined.withColumn(copies, F.floor(rate) + (joined[drawn] < rate - F.floor(rate)).cast("long")).drop(of_source, drawn)
+
+
+RESULTS = ("size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """:func:`counted` with the results named size, source_size, target and copies (0 or
     more), beside the other columns of ``docs``; its columns of those names are replaced."""
-    names = {"size": SIZE, "source_size": TOTAL, "target": TARGET, "copies": COPIES}
-    found = counted(docs, **options)
-    return found.select(*[found[c] for c in docs.columns if c.lower() not in names], *[found[c].alias(n) for n, c in names.items()])
+    names = free_names(docs, *RESULTS)
+    found = counted(docs, names, **options)
+    return found.select(*[found[c] for c in docs.columns if c.lower() not in RESULTS], *[found[c].alias(n) for n, c in zip(RESULTS, names)])
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
@@ -93,8 +95,9 @@ def emitted(docs: DataFrame, **options) -> DataFrame:
 
     Nulls, empty, very long and repeated texts as in :func:`counted`.
     """
-    found = counted(docs, **options)
-    return found.withColumn("mixing copy", F.explode(F.array_repeat(F.lit(1), F.col(COPIES).cast("int")))).select(*[found[c] for c in docs.columns])
+    *names, turn = free_names(docs, *RESULTS, "turn")
+    found = counted(docs, names, **options)
+    return found.withColumn(turn, F.explode(F.array_repeat(F.lit(1), found[names[-1]].cast("int")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
