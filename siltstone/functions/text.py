@@ -32,6 +32,13 @@ def normalize_pair(text: Column) -> Column:
     return F.array_join(words(F.lower(text)), " ")
 
 
+def pair_key(user: Column, assistant: Column) -> Column:
+    """A digest of the normalised pair: equal pairs are grouped and joined by it, so that
+    whole texts aren't shuffled. The first length keeps the sides apart."""
+    u, a = normalize_pair(user), normalize_pair(assistant)
+    return F.sha2(F.concat(F.length(u).cast("string"), F.lit(" "), u, a), 256)
+
+
 def bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once: a lambda's argument isn't recomputed
     where the body uses it for every element of another array."""

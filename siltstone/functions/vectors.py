@@ -23,7 +23,18 @@ def clamped_cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (length > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(x, y), length)))).otherwise(F.lit(0.0))
 
 
-def lexical_vector(text: Column, most: int = 24) -> Column:
+TOKENS = 24
+
+
+def first_tokens(text: Column, most: int = TOKENS) -> Column:
+    """The first ``most`` of the text's sorted distinct tokens."""
+    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)")))), 1, most)
+
+
+def token_lengths(tokens: Column, most: int = TOKENS) -> Column:
+    return F.transform(F.slice(F.array_sort(F.array_distinct(tokens)), 1, most), lambda w: F.length(w).cast("double"))
+
+
+def lexical_vector(text: Column, most: int = TOKENS) -> Column:
     """The lengths of the first sorted distinct tokens: a stand-in where no model is."""
-    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))))
-    return F.transform(F.slice(tokens, 1, most), lambda w: F.length(w).cast("double"))
+    return token_lengths(first_tokens(text, most), most)

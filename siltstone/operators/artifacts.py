@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import truncate
+from siltstone.operators.ranges import numbered
 
 
 def bucket_counts(parts: DataFrame) -> DataFrame:
@@ -32,4 +33,4 @@ def inspect_place(rows: DataFrame, by: str) -> DataFrame:
         "topic": [F.lower(F.coalesce("topic", F.lit("")))],
         "reason": [F.lower(F.array_join("rejection_reasons", ","))],
     }.get(by, [])
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*keys, "id")))
+    return numbered(rows, *keys, F.asc("id"))

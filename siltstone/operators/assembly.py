@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.rewrite import soften
+from siltstone.plans.sizes import bounded
 
 
 def message(role: str, content: Column) -> Column:
@@ -35,7 +36,7 @@ def seeds_of_clusters(plan: DataFrame, seeds: DataFrame) -> DataFrame:
     """Each slot of the plan with the seeds of its cluster, or with all seeds where the
     cluster has none. Seeds are a small table by definition."""
     own = plan.join(seeds, "cluster_id", "left_semi").join(seeds, "cluster_id")
-    others = plan.join(seeds, "cluster_id", "left_anti").join(F.broadcast(seeds.drop("cluster_id")))
+    others = plan.join(seeds, "cluster_id", "left_anti").crossJoin(bounded(seeds.drop("cluster_id")))  # each with all seeds, as asked
     return own.unionByName(others)
 
 

@@ -2,44 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.classify import empathy, length_ratio, task_success
-from siltstone.functions.text import bound, normalize_pair, words
+from siltstone.functions.text import normalize_pair, words
+from siltstone.operators.ranges import numbered
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:
-    """F1 of the two multisets of words; 0 if a side is empty or nothing is shared."""
-    count = lambda xs, w: F.size(xs) - F.size(F.array_remove(xs, w))
+    """F1 of the two multisets of words; 0 if a side is empty or nothing is shared.
+
+    Both sides' words are sorted together and passed through once: of each word the
+    lesser number of the two sides is shared.
+    """
+    sided = lambda text, p: F.transform(words(normalize_pair(text)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p")))
 
-    def of(sides: Column) -> Column:
-        p, r = sides["p"], sides["r"]
-        shared = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda acc, w: acc + F.least(count(p, w), count(r, w)))
-        return F.when(shared > 0, 2.0 * shared / (F.size(p) + F.size(r))).otherwise(F.lit(0.0))
+    def state(w: Column, p: Column, r: Column, shared: Column, left: Column, right: Column) -> Column:
+        return F.struct(w.alias("w"), p.alias("p"), r.alias("r"), shared.alias("shared"), left.alias("left"), right.alias("right"))
 
-    return bound(F.struct(words(normalize_pair(prediction)).alias("p"), words(normalize_pair(reference)).alias("r")), of)
+    def step(acc: Column, x: Column) -> Column:
+        one, other = x["p"], 1 - x["p"]
+        same = acc["w"].eqNullSafe(x["w"])
+        done = acc["shared"] + F.when(same, 0).otherwise(F.least(acc["p"], acc["r"]))
+        return state(x["w"], one + F.when(same, acc["p"]).otherwise(0), other + F.when(same, acc["r"]).otherwise(0), done, acc["left"] + one, acc["right"] + other)
+
+    def score(acc: Column) -> Column:
+        shared = acc["shared"] + F.least(acc["p"], acc["r"])
+        return F.when(shared > 0, 2.0 * shared / (acc["left"] + acc["right"])).otherwise(F.lit(0.0))
+
+    zero = F.lit(0)
+    return F.aggregate(F.array_sort(F.concat(sided(prediction, 1), sided(reference, 0))), state(F.lit(None).cast("string"), zero, zero, zero, zero, zero), step, score)
 
 
 def positional(predictions: DataFrame, holdout: DataFrame, order: str = "ord") -> DataFrame:
-    """Pairs the rows of two tables by their place in ``order``; the longer one is cut.
+    """Pairs the rows of two tables by their place in ``order``; the longer one is cut."""
 
-    Places are numbered within ranges of ``order`` and shifted by the rows of the
-    ranges before, so that no task sorts a whole table. The ranges are dealt once, in
-    a copy in the shared folder: counts and rows of two exchanges may be cut apart.
-    """
     def placed(df: DataFrame, side: str) -> DataFrame:
-        sc = df.sparkSession.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        parts = df.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
-        ranges = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"))
-        before = ranges.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-        place = F.row_number().over(Window.partitionBy("part").orderBy(order)) + F.col("before")
-        renamed = parts.join(F.broadcast(before), "part").withColumn("place", place).drop("part", "before")
-        return renamed.select("place", *[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+        return numbered(df, order, name="place of the row").select(F.col("place of the row").alias("place"), *[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
     return placed(predictions, "p").join(placed(holdout, "h"), "place")
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.classify import complexity, persona, planner_style
 from siltstone.functions.text import identifier_slug
-from siltstone.functions.vectors import clamped_cosine, lexical_vector
+from siltstone.functions.vectors import clamped_cosine, first_tokens, token_lengths
+from siltstone.operators.ranges import numbered
 from siltstone.operators.distribution import semantic_status
 
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -87,9 +88,19 @@ def leader_clusters(vectors: DataFrame, threshold: float = CLUSTER_SIMILARITY) -
     return vectors.select("id", "embedding").coalesce(1).mapInPandas(one_pass, f"id {dict(vectors.dtypes)['id']}, semantic_cluster int")
 
 
-def cluster_vectors(clusters: DataFrame) -> DataFrame:
-    """Lexical stand-in vectors of clusters, from topic, style and difficulty."""
-    return clusters.withColumn("vector", lexical_vector(F.concat_ws(" ", "topic", "style", "difficulty")))
+def cluster_vectors(clusters: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Lexical stand-in vectors of clusters, from topic, style and difficulty, and the
+    texts of their ``seeds`` (cluster_id, user, assistant) if given.
+
+    Of each text the first sorted distinct tokens are enough, since no others can be
+    among the cluster's first.
+    """
+    named = clusters.withColumn("words", first_tokens(F.concat_ws(" ", "topic", "style", "difficulty")))
+    if seeds is not None:
+        texts = seeds.select("cluster_id", F.explode(first_tokens(F.concat_ws(" ", "user", "assistant"))).alias("token")).distinct()
+        own = texts.groupBy("cluster_id").agg(F.collect_set("token").alias("seed words"))
+        named = named.join(own, "cluster_id", "left").withColumn("words", F.concat("words", F.coalesce("seed words", F.array().cast("array<string>")))).drop("seed words")
+    return named.withColumn("vector", token_lengths(F.col("words"))).drop("words")
 
 
 def neighbor_edges(vectors: DataFrame, k: int = NEIGHBORS) -> DataFrame:
@@ -147,6 +158,14 @@ def plan_slots(allocation: DataFrame) -> DataFrame:
     return allocation.select("cluster_id", "topic", "style", persona(F.col("style"), F.col("difficulty")).alias("persona"), "difficulty", slots)
 
 
+def cycled(slots: DataFrame, n: int) -> DataFrame:
+    """The plan's slots in order, again from the start until there are ``n``."""
+    places = numbered(slots, F.col("cluster_id"), F.col("slot"))
+    have = max(1, places.count())
+    turns = F.explode(F.sequence(F.lit(0), F.lit(-(-n // have) - 1))).alias("turn")
+    return places.select("*", turns).withColumn("slot", (F.col("turn") * have + F.col("place")).cast("int")).where(F.col("slot") <= n).drop("turn", "place")
+
+
 def fallback_plan(topics: DataFrame, seed: int = 42) -> DataFrame:
     """Every topic with every persona and difficulty, in an order drawn by hash."""
     options = topics.select("topic", F.explode(F.array(*[F.lit(p) for p in PERSONAS])).alias("persona")).select("*", F.explode(F.array(*[F.lit(d) for d in DIFFICULTIES])).alias("difficulty"))

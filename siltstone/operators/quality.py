@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.classify import difficulty, rule_issues, rule_penalty, score_bucket
-from siltstone.functions.text import normalize_pair, word_count
+from siltstone.functions.text import pair_key, word_count
+from siltstone.operators.ranges import running_mean
 
 MIN_SCORE = 7.5
 TOP_TOPICS = 20
@@ -88,7 +89,7 @@ def issue_counts(rows: DataFrame) -> DataFrame:
 
 def duplicate_stats(rows: DataFrame) -> DataFrame:
     """groups: equal pairs of normalised texts; members: the rows in them, first ones too."""
-    pairs = rows.groupBy(normalize_pair(F.col("user")).alias("u"), normalize_pair(F.col("assistant")).alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.groupBy(pair_key(F.col("user"), F.col("assistant")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return pairs.where("n > 1").agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
 
@@ -111,5 +112,4 @@ def evidence_samples(found: DataFrame, k: int = 10) -> DataFrame:
 
 def running_average(scores: DataFrame, every: str) -> DataFrame:
     """Cumulative average score in input order within ``every``, as a progress log shows it."""
-    w = Window.partitionBy(every).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scores.withColumn("average_so_far", F.avg("quality_score").over(w))
+    return running_mean(scores, "quality_score", every, "id", "average_so_far")

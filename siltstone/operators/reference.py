@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.classify import evaluator_style
-from siltstone.functions.text import grams_overlap, normalize_pair
+from siltstone.functions.text import grams_overlap, pair_key
 from siltstone.operators.distribution import counts_by, total_variation
 from siltstone.operators.quality import topic_counts, with_difficulty
 
@@ -15,12 +15,12 @@ SEMANTIC = 0.88
 
 
 def pair_keys(rows: DataFrame) -> DataFrame:
-    return rows.select("id", normalize_pair(F.col("user")).alias("u"), normalize_pair(F.col("assistant")).alias("a"))
+    return rows.select("id", pair_key(F.col("user"), F.col("assistant")).alias("k"))
 
 
 def exact_overlap(generated: DataFrame, reference: DataFrame) -> DataFrame:
     """id of the generated rows whose normalised pair the reference has."""
-    return pair_keys(generated).join(pair_keys(reference).select("u", "a").distinct(), ["u", "a"], "left_semi").select("id")
+    return pair_keys(generated).join(pair_keys(reference).select("k").distinct(), "k", "left_semi").select("id")
 
 
 def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float = NEAR) -> DataFrame:
@@ -55,9 +55,12 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
     return member.join(best, "k").select("id", "likeness")
 
 
-def semantic_overlap(generated: DataFrame, reference: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
+def semantic_overlap(generated: DataFrame | None, reference: DataFrame | None, threshold: float = SEMANTIC, spark=None) -> DataFrame:
     """One row, ``semantic_overlap``: the share of generated vectors whose nearest
-    reference vector reaches the threshold; 0 when a side is empty."""
+    reference vector reaches the threshold; 0 when a side is empty, null where there is
+    no model and so no vectors (``spark`` is needed for that)."""
+    if generated is None or reference is None:
+        return spark.range(1).select(F.lit(None).cast("double").alias("semantic_overlap"))
     from siltstone.operators.decontamination import vector_top_k
 
     best = vector_top_k(generated, reference, 1)

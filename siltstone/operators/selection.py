@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.rewrite import review, risk
-from siltstone.functions.text import normalize_pair
+from siltstone.functions.text import pair_key
 
-KEYS = ("key_user", "key_assistant")
-
-
-def with_pair_keys(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(KEYS[0], normalize_pair(F.col("user"))).withColumn(KEYS[1], normalize_pair(F.col("assistant")))
+def with_pair_key(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pair_key", pair_key(F.col("user"), F.col("assistant")))
 
 
 def first_of_pairs(rows: DataFrame) -> DataFrame:
     """id of the first row, by id, of each normalised pair. An aggregate, not a window:
     a pair with many copies is combined before the shuffle."""
-    return with_pair_keys(rows).groupBy(*KEYS).agg(F.min("id").alias("id")).select("id")
+    return with_pair_key(rows).groupBy("pair_key").agg(F.min("id").alias("id")).select("id")
 
 
 def new_pairs(candidates: DataFrame, *seen: DataFrame) -> DataFrame:
     """The first rows of each normalised pair that no table of ``seen`` has."""
-    fresh = with_pair_keys(candidates).groupBy(*KEYS).agg(F.min("id").alias("id"))
+    fresh = with_pair_key(candidates).groupBy("pair_key").agg(F.min("id").alias("id"))
     for other in seen:
-        fresh = fresh.join(with_pair_keys(other).select(*KEYS).distinct(), [*KEYS], "left_anti")
+        fresh = fresh.join(with_pair_key(other).select("pair_key").distinct(), "pair_key", "left_anti")
     return candidates.join(fresh.select("id"), "id", "left_semi")
 
 

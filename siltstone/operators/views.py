@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPLITS = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Documents in fewer splits than there are cores (one small
-    file) are dealt out, or one core would do all the work on texts; larger inputs are
-    read as they are split."""
+    """A table of the folder. Documents in fewer splits than there are cores, and less than
+    SPLITS (a few small files), are dealt out, or one core would do all the work on
+    texts; larger inputs are read as they are split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < min(cores, SPLITS) else df
 
 
 def first_contents(messages) -> tuple:

@@ -1,7 +1,7 @@
 """External work (models) as functions that are handed in, and stubs for tests.
 
 A judge or generator is a callable on a pandas batch, called in tasks with bounded
-retries. Persist what it returns: a recomputed task would call it again.
+retries. Store what it returns: a recomputed task would call it again.
 """
 
 from __future__ import annotations
@@ -11,23 +11,43 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def applied(rows: DataFrame, work: Batch, schema: str, retries: int = 3, wait: float = 0.5) -> DataFrame:
-    """``work`` on every Arrow batch; a batch that keeps failing gives no rows, so that
-    callers see it as missing and one bad reply can't stop a job or spin forever."""
+def applied(rows: DataFrame, work: Batch, schema: str, retries: int = 3, wait: float = 0.5, failed: Batch | None = None, batch_size: int | None = None) -> DataFrame:
+    """``work`` on every Arrow batch, or on ``batch_size`` rows at a time.
+
+    A batch that keeps failing is tried again row by row, so that a bad row costs no
+    other one its result; rows that fail alone give what ``failed`` makes of them, or
+    nothing without it. One bad reply can't stop a job or spin forever.
+    """
+
+    def attempts(batch: pd.DataFrame) -> pd.DataFrame | None:
+        for attempt in range(retries):
+            try:
+                return work(batch)
+            except Exception:
+                if attempt + 1 < retries:
+                    time.sleep(wait * 2**attempt)
+        return None
 
     def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for attempt in range(retries):
-                try:
-                    yield work(batch)
-                    break
-                except Exception:
-                    if attempt + 1 < retries:
-                        time.sleep(wait * 2**attempt)
+        for whole in batches:
+            size = batch_size or max(1, len(whole))
+            for start in range(0, len(whole), size):
+                batch = whole.iloc[start : start + size].reset_index(drop=True)
+                if (out := attempts(batch)) is not None:
+                    yield out
+                    continue
+                for i in range(len(batch)):
+                    one = batch.iloc[i : i + 1].reset_index(drop=True)
+                    out = attempts(one) if len(batch) > 1 else None
+                    if out is not None:
+                        yield out
+                    elif failed is not None:
+                        yield failed(one)
 
     return rows.mapInPandas(tried, schema)
 
@@ -41,15 +61,33 @@ def constant_judge(score: float = 8.0) -> Batch:
     return judge
 
 
-def judged(examples: DataFrame, judge: Batch) -> DataFrame:
-    """Adds overall and judge_issues; rows whose judge failed get score 5 and the issue."""
-    from pyspark.sql import functions as F
+#: What a judge may say beside id, overall and judge_issues.
+DETAILS = ("relevance", "accuracy", "completeness", "naturalness", "helpfulness")
+FLAGS = {"has_pii": "pii_detected", "has_toxic_content": "toxic_content"}
+
 
+def judged(examples: DataFrame, judge: Batch, batch_size: int | None = None) -> DataFrame:
+    """Adds overall, judge_issues and quality_details (the named scores that the reply has).
+
+    A reply that says has_pii or has_toxic_content adds that issue. Rows whose judge
+    failed have no score and the issue llm_scoring_failed; of a batch that fails, the
+    other rows keep their replies. Store the result: it is read more than once.
+    """
     kind = dict(examples.dtypes)["id"]
-    found = applied(examples.select("id", "user", "assistant"), judge, f"id {kind}, overall double, judge_issues array<string>")
-    out = examples.drop("overall", "judge_issues").join(found, "id", "left")
-    failed = F.col("overall").isNull() & F.col("judge_issues").isNull()
-    return out.withColumn("judge_issues", F.when(failed, F.array(F.lit("llm_scoring_failed"))).otherwise(F.col("judge_issues")))
+    more = [*DETAILS, *FLAGS]
+
+    def whole(batch: pd.DataFrame) -> pd.DataFrame:
+        reply = judge(batch)
+        return reply.reindex(columns=["id", "overall", "judge_issues", *more])
+
+    schema = f"id {kind}, overall double, judge_issues array<string>, {', '.join(f'{c} double' for c in DETAILS)}, {', '.join(f'{c} boolean' for c in FLAGS)}"
+    found = applied(examples.select("id", "user", "assistant"), whole, schema, batch_size=batch_size).withColumn("replied", F.lit(True))
+    added = F.array_compact(F.array(*[F.when(F.col(c), F.lit(issue)) for c, issue in FLAGS.items()]))
+    details = F.map_filter(F.create_map(*[x for c in DETAILS for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    none = F.array().cast("array<string>")
+    out = examples.drop("overall", "judge_issues", "quality_details").join(found, "id", "left")
+    issues = F.when(F.col("replied"), F.concat(F.coalesce("judge_issues", none), added)).otherwise(F.array(F.lit("llm_scoring_failed")))
+    return out.withColumn("judge_issues", issues).withColumn("quality_details", details).drop("replied", *more)
 
 
 def template_writer(text: str = "Answer for {topic} ({persona}, {difficulty}), slot {slot}") -> Batch:
@@ -58,7 +96,7 @@ def template_writer(text: str = "Answer for {topic} ({persona}, {difficulty}), s
     def write(batch: pd.DataFrame) -> pd.DataFrame:
         rows = batch.to_dict("records")
         return pd.DataFrame({
-            "cluster_id": batch["cluster_id"], "topic": batch["topic"], "slot": batch["slot"],
+            "cluster_id": batch["cluster_id"], "topic": batch["topic"], "slot": batch["slot"], "error": None,
             "user": [f"Question {r['slot']} about {r['topic']} for a {r['persona']}?" for r in rows],
             "assistant": [text.format(**r) for r in rows],
         })

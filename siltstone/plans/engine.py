@@ -9,8 +9,17 @@ from siltstone.config import Config
 from siltstone.operators import decontamination as decon
 from siltstone.operators import distribution, diversity, planning, quality, selection
 from siltstone.plans.effects import Batch, applied, constant_judge, judged
+from siltstone.plans.sizes import stored
 from siltstone.sources import benchmarks, jsonl, writers
 
+MADE = "cluster_id string, topic string, slot int, user string, assistant string, error string"
+
+
+def made_by(generator: Batch) -> Batch:
+    """The generator with its reply's columns in order, those it lacks being empty."""
+    columns = [c.split()[0] for c in MADE.split(", ")]
+    return lambda batch: generator(batch).reindex(columns=columns)
+
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None, judge: Batch | None = None, generator: Batch | None = None):
@@ -21,15 +30,18 @@ class Engine:
         rows = jsonl.read_examples(self.spark, path, keep_scores)
         return rows.withColumn("id", F.substring(F.md5(F.to_json("messages")), 1, 12)).withColumn("topic", F.coalesce(jsonl.metadata_field("topic"), F.lit("unknown")))
 
-    def audit(self, examples: DataFrame, bench: DataFrame | None = None) -> DataFrame:
-        """Scores, issues, verdict and flags for every example; cached, since the judge
-        may be an external service."""
+    def audit(self, examples: DataFrame, bench: DataFrame | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """Scores, issues, verdict and flags for every example.
+
+        What the judge says is stored before it is used, since it may be an external
+        service: it sees each row once. ``vectors`` as in :func:`decon.evidence`.
+        """
         if bench is None:
             bench, _ = benchmarks.corpus(self.spark, None, self.config.decontamination.benchmarks)
         c = self.config.decontamination
-        rows = quality.scored(judged(examples, self.judge))
+        rows = stored(quality.scored(judged(examples, self.judge)))
         texts = rows.select("id", F.concat_ws(" ", "user", "assistant").alias("text"))
-        found = decon.evidence(texts, bench, c.method, c.gram, c.threshold)
+        found = decon.evidence(texts, bench, c.method, c.gram, c.threshold, vectors, c.top_k)
         return rows.join(decon.verdicts(rows, found, c.hard_fail, c.review, c.review_threshold), "id").persist()
 
     def report(self, audited: DataFrame) -> DataFrame:
@@ -48,37 +60,67 @@ class Engine:
     def plan(self, seeds: DataFrame, accepted: DataFrame | None = None, focus: list[str] = ()) -> DataFrame:
         """Slots to generate, from seeds (id, user, assistant, topic) and accepted rows."""
         g = self.config.generation
+        clusters, edges, have = self._planned(seeds, accepted)
+        return planning.plan_slots(planning.allocated(planning.prioritized(clusters, edges, have, focus, g.max_active_clusters, g.saturation_threshold, g.long_tail_boost, g.distance_weight, g.semantic_focus_top_k)))
+
+    def _planned(self, seeds: DataFrame, accepted: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Clusters with targets, their edges, and (key, n) of what is accepted."""
+        g = self.config.generation
         clusters = planning.with_targets(planning.seed_profile(planning.with_cluster(seeds)), g.num_examples)
-        edges = planning.neighbor_edges(planning.cluster_vectors(clusters), g.neighbor_k)
+        edges = planning.neighbor_edges(planning.cluster_vectors(clusters, planning.with_cluster(seeds)), g.neighbor_k)
         have = distribution.counts_by(accepted, F.col("cluster_id")) if accepted is not None else self.spark.createDataFrame([], "key string, n long")
-        return planning.plan_slots(planning.allocated(planning.prioritized(clusters, edges, have, focus, g.max_active_clusters, g.saturation_threshold, g.long_tail_boost, g.distance_weight, g.semantic_focus_top_k)))
+        return clusters, edges, have
+
+    def _focus(self, clusters: DataFrame, edges: DataFrame, have: DataFrame) -> list[str]:
+        """The first clusters by priority: focus_top_k of them, one more if the strategy is soft."""
+        g = self.config.generation
+        first = planning.prioritized(clusters, edges, have, (), g.max_active_clusters, g.saturation_threshold, g.long_tail_boost, g.distance_weight, g.semantic_focus_top_k)
+        n = g.focus_top_k + (1 if g.focus_strategy == "soft" else 0)
+        return [r["cluster_id"] for r in first.orderBy("place").limit(n).select("cluster_id").collect()]
 
     def expand(self, seeds: DataFrame, folder: str) -> DataFrame:
         """Rounds of planning, generation, dedup, scoring and selection, up to the target.
 
-        Each round's candidates are written under ``folder`` and read again, so that a
-        model is never called twice for them and lineage stays short.
+        After a round the status of the distribution is added to ``self.rounds``, and the
+        next round is for the clusters that lag most (``focus_strategy``: strict takes
+        focus_top_k of them, soft one more). It ends when the target is reached, nothing
+        was kept, or no gap is left and the divergence is within ``max_divergence``.
+        Candidates and their scores are written under ``folder`` and read again, so that
+        a model sees each row once and lineage stays short. Slots whose generation fails
+        stay there as rows with an error.
         """
         if self.generator is None:
             raise ValueError("expanding needs a generator")
-        g, accepted = self.config.generation, None
+        g, accepted, focus = self.config.generation, None, []
+        failed = lambda one: one[["cluster_id", "topic", "slot"]].assign(user="", assistant="", error="generation failed")
+        self.rounds: list[dict] = []
         for round_ in range(g.max_rounds):
-            slots = self.plan(seeds, accepted)
-            made = applied(slots, self.generator, "cluster_id string, topic string, slot int, user string, assistant string")
+            done = accepted.count() if accepted is not None else 0
+            asked = max(g.num_examples - done, g.batch_size)
+            slots = planning.cycled(self.plan(seeds, accepted, focus), asked)
             path = f"{folder}/round-{round_}"
+            made = applied(slots, made_by(self.generator), MADE, g.max_retries, failed=failed, batch_size=g.batch_size)
             made.withColumn("id", F.concat_ws("-", F.lit(f"r{round_}"), "cluster_id", "slot")).write.mode("overwrite").parquet(path)
-            candidates = selection.new_pairs(self.spark.read.parquet(path), seeds, *([accepted] if accepted is not None else []))
-            scored = quality.scored(judged(candidates, self.judge))
-            room = g.num_examples - (accepted.count() if accepted is not None else 0)
-            best = selection.keep_best(scored, room, self.config.quality.min_score)
-            selection.split(scored, best, self.config.quality.min_score).write.mode("overwrite").parquet(f"{path}-split")
+            good = self.spark.read.parquet(path).where(F.col("error").isNull())
+            candidates = selection.new_pairs(good, seeds, *([accepted] if accepted is not None else []))
+            audited = quality.scored(judged(candidates, self.judge)).withColumn("pipeline_stage", F.lit("audited"))
+            audited.write.mode("overwrite").parquet(f"{path}-scored")
+            audited = self.spark.read.parquet(f"{path}-scored")
+            best = selection.keep_best(audited, g.num_examples - done, self.config.quality.min_score)
+            selection.split(audited, best, self.config.quality.min_score).write.mode("overwrite").parquet(f"{path}-split")
             kept = self.spark.read.parquet(f"{path}-split").where("bucket = 'accepted'")
-            if kept.isEmpty():
-                break
-            accepted = kept if accepted is None else accepted.unionByName(kept)
-            if accepted.count() >= g.num_examples:
+            n = kept.count()
+            if n:
+                accepted = kept if accepted is None else accepted.unionByName(kept)
+            clusters, edges, have = self._planned(seeds, accepted)
+            status = distribution.status(clusters, edges, have, g.saturation_threshold).first().asDict()
+            self.rounds.append({"round": round_ + 1, "requested": asked, "accepted_total": done + n, "accepted": n, "focus": focus, **status})
+            if not n or done + n >= g.num_examples or (not status["gap_ratio"] and status["divergence"] <= g.max_divergence):
                 break
-        return accepted if accepted is not None else quality.scored(judged(seeds, self.judge)).where("false")
+            focus = self._focus(clusters, edges, have)
+        if accepted is None:
+            return quality.scored(judged(seeds, self.judge)).where("false")
+        return accepted.withColumn("pipeline_stage", F.lit("finalized"))
 
     def export(self, rows: DataFrame, name: str) -> str:
         e = self.config.export

@@ -1,7 +1,9 @@
-"""Broadcasts behind a check of their size."""
+"""Broadcasts behind a check of their size, and tables that are settled in shared files."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,5 +12,21 @@ BROADCAST_ROWS = 200_000
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has ``max_rows`` rows at most; else as it is,
-    for a shuffled join that AQE can split. The count runs once, at planning."""
+    for a shuffled join that AQE can split. The count runs once, at planning: give it a
+    table or a :func:`stored` one, which isn't computed again."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder named by spark.checkpoint.dir.
+
+    Local sessions without that setting (tests, notebooks) get a temporary folder; a
+    cluster's executors couldn't share one, so there it is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -1,9 +1,11 @@
 import json
+import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.config import Config
+from siltstone.config import Config, Generation
 from siltstone.plans import effects
 from siltstone.plans.engine import Engine
 from siltstone.sources import benchmarks, jsonl, runs, writers
@@ -69,8 +71,6 @@ def test_alpaca_array_csv_and_artifacts(spark, lines, tmp_path):
 
 
 def test_latest_artifacts_and_runs(spark, tmp_path):
-    import os
-
     for name, age in (("old", 100), ("new", 0)):
         for bucket in runs.BUCKETS:
             p = tmp_path / f"{name}_{bucket}.jsonl"
@@ -119,6 +119,67 @@ def test_failing_judges_are_marked(spark):
     assert got["overall"] is None and got["judge_issues"] == ["llm_scoring_failed"]
 
 
+def counting(path, judge):
+    """A judge that notes the rows it sees in a file of its own process."""
+
+    def count(batch):
+        with open(f"{path}/{os.getpid()}", "a") as f:
+            f.writelines(f"{i}\n" for i in batch["id"])
+        return judge(batch)
+
+    return count
+
+
+def seen(path):
+    return sorted(line for p in path.iterdir() for line in p.read_text().split())
+
+
+def test_a_judge_sees_each_row_once(spark, lines, tmp_path):
+    (tmp_path / "seen").mkdir()
+    engine = Engine(spark, judge=counting(str(tmp_path / "seen"), effects.constant_judge(9.5)))
+    audited = engine.audit(engine.read(lines))
+    audited.collect()
+    engine.report(audited).collect()
+    assert seen(tmp_path / "seen") == sorted(r["id"] for r in audited.collect())
+    (tmp_path / "rounds").mkdir()
+    writer = effects.template_writer("A long answer about {topic} for slot {slot} by {persona} at {difficulty} with enough words to pass the rules")
+    engine = Engine(spark, judge=counting(str(tmp_path / "rounds"), effects.constant_judge(9.5)), generator=writer)
+    grown = engine.expand(audited.select("id", "user", "assistant", "topic"), str(tmp_path / "out"))
+    ids = seen(tmp_path / "rounds")
+    assert len(ids) == len(set(ids)) >= grown.count() > 0
+    assert engine.rounds[-1]["accepted_total"] == grown.count() and set(engine.rounds[-1]) >= {"divergence", "gap_ratio", "focus"}
+
+
+def test_a_bad_row_costs_no_other(spark):
+    def moody(batch):
+        if "bad" in list(batch["user"]):
+            raise ValueError("cannot read it")
+        return pd.DataFrame({"id": batch["id"], "overall": 8.0, "judge_issues": [["short"]] * len(batch), "has_pii": True, "accuracy": 7.0})
+
+    rows = spark.createDataFrame([(i, "bad" if i == 3 else "u", "a") for i in range(8)], "id int, user string, assistant string").coalesce(1)
+    got = {r["id"]: (r["overall"], r["judge_issues"], r["quality_details"]) for r in effects.judged(rows, moody).collect()}
+    assert got.pop(3) == (None, ["llm_scoring_failed"], {})
+    assert set(got) == {0, 1, 2, 4, 5, 6, 7} and all(v == (8.0, ["short", "pii_detected"], {"accuracy": 7.0}) for v in got.values())
+    told = effects.applied(rows, lambda b: moody(b)[["id", "overall"]], "id int, overall double", 1, failed=lambda one: one[["id"]].assign(overall=-1.0))
+    assert sorted((r["id"], r["overall"]) for r in told.collect()) == [(i, -1.0 if i == 3 else 8.0) for i in range(8)]
+
+
+def test_rounds_focus_on_the_clusters_that_lag(spark, tmp_path):
+    """Half of the generated rows are too short to pass, so a second round has a focus."""
+    seeds = spark.createDataFrame([(i, f"a question {i} about it", "an answer", f"t{i % 5}") for i in range(20)], "id int, user string, assistant string, topic string")
+
+    def lazy(batch):
+        out = effects.template_writer("A long answer about {topic} for slot {slot} by {persona} at {difficulty} with enough words to pass the rules")(batch)
+        out.loc[out["slot"] % 2 == 0, "assistant"] = "no"
+        return out
+
+    config = Config(generation=Generation(num_examples=30, focus_strategy="soft", max_rounds=2))
+    engine = Engine(spark, config, effects.constant_judge(8.0), lazy)
+    grown = engine.expand(seeds, str(tmp_path))
+    assert [r["focus"] == [] for r in engine.rounds] == [True, False] and len(engine.rounds[1]["focus"]) == 3
+    assert grown.count() == engine.rounds[-1]["accepted_total"] and grown.select("pipeline_stage").distinct().count() == 1
+
+
 def test_stream_resumes(spark, tmp_path):
     folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     (tmp_path / "in").mkdir()
