@@ -91,6 +91,12 @@ def label_slug(text: Column) -> Column:
     return F.translate(text, " /", "__")
 
 
+def domain_key(text: Column) -> Column:
+    """Letters and digits of any script in lower case, with one underscore between; else general."""
+    key = F.array_join(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), "_")
+    return F.when(key == "", F.lit("general")).otherwise(key)
+
+
 def truncate(text: Column, most: int = 140) -> Column:
     """White space collapsed, and cut to ``most`` characters, the last three being dots."""
     flat = F.array_join(words(text), " ")

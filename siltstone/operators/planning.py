@@ -172,6 +172,23 @@ def fallback_plan(topics: DataFrame, seed: int = 42) -> DataFrame:
     return options.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("topic", "persona", "difficulty", F.lit(seed)))))
 
 
+TREE = "struct<root:string,branches:array<struct<name:string,leaves:array<string>>>>"
+
+
+def topic_trees(replies: DataFrame) -> DataFrame:
+    """domain, root, branches of (domain, tree), the tree being a model's reply. One
+    without branches is replaced: the domain as its one branch, with two leaves."""
+    basic = F.array(F.struct(F.col("domain").alias("name"), F.array(F.concat("domain", F.lit(" basics")), F.concat("domain", F.lit(" advanced"))).alias("leaves")))
+    given = F.col("tree.branches")
+    return replies.select("domain", F.when(given.isNull(), F.col("domain")).otherwise(F.coalesce("tree.root", "domain")).alias("root"), F.coalesce(given, basic).alias("branches"))
+
+
+def topic_counts(trees: DataFrame) -> DataFrame:
+    """root, branches, leaves: how many of each a tree has."""
+    leaves = F.aggregate("branches", F.lit(0), lambda acc, b: acc + F.size(F.coalesce(b["leaves"], F.array().cast("array<string>"))))
+    return trees.select("root", F.size("branches").alias("branches"), leaves.alias("leaves"))
+
+
 def topic_leaves(trees: DataFrame) -> DataFrame:
     """root, place, topic: trees (root, branches) flattened to 'branch — leaf', in order."""
     branches = trees.select("root", F.posexplode("branches").alias("i", "b"))

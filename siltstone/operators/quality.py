@@ -93,6 +93,18 @@ def duplicate_stats(rows: DataFrame) -> DataFrame:
     return pairs.where("n > 1").agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
 
+def score_spread(rows: DataFrame) -> DataFrame:
+    """One row: the least, highest and average score."""
+    s = F.coalesce("quality_score", F.lit(0.0))
+    return rows.agg(F.min(s).alias("lowest"), F.max(s).alias("highest"), F.avg(s).alias("average"))
+
+
+def turn_stats(rows: DataFrame) -> DataFrame:
+    """One row: conversations, and the least, highest and average number of their turns (num_turns)."""
+    n = F.col("num_turns")
+    return rows.agg(F.count(F.lit(1)).alias("conversations"), F.min(n).alias("fewest"), F.max(n).alias("most"), F.avg(n).alias("average"))
+
+
 def contamination_rollup(verdicts: DataFrame, found: DataFrame) -> DataFrame:
     """kind, name, n: examples by verdict, evidence by method, and by benchmark and method."""
     n = F.count(F.lit(1)).alias("n")

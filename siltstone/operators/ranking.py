@@ -42,6 +42,36 @@ def eta_minutes(history: DataFrame, provider: str, model: str, has_seeds: bool,
     return middle.select((F.col("middle") * 0.85).alias("low"), "middle", (F.col("middle") * 1.2).alias("high"))
 
 
+def rounded_eta(estimate: DataFrame) -> DataFrame:
+    """low and high in whole minutes: one at least, and high above low."""
+    low = F.greatest(F.lit(1), F.bround("low").cast("long"))
+    return estimate.select(low.alias("low"), F.greatest(low + 1, F.bround("high").cast("long")).alias("high"))
+
+
+def stage_minutes(runs: DataFrame, examples: int) -> DataFrame:
+    """stage, minutes: the upper median over comparable runs (examples, stages: map of
+    seconds), each scaled to the number of examples; one minute at least."""
+    each = runs.select(F.col("examples").alias("n"), F.explode("stages").alias("stage", "seconds"))
+    scaled_ = each.withColumn("m", F.col("seconds") / 60.0 * examples / F.greatest("n", F.lit(1)))
+    return scaled_.groupBy("stage").agg(F.greatest(F.lit(1), F.bround(upper_median("m")).cast("long")).alias("minutes"))
+
+
+# Minutes for 100 examples, from and to, where there is no history.
+PER_100 = {"70b 72b qwq mixtral": (7.0, 12.0), "32b 34b 27b": (5.0, 9.0), "13b 14b": (3.5, 6.5), "": (2.5, 5.0)}
+HOSTED, OTHER = (1.0, 2.5), (1.5, 4.0)
+
+
+def rough_eta(provider: str, model: str, examples: int, has_seeds: bool) -> tuple[int, int]:
+    """Whole minutes, from and to, by the size that a local model's name tells."""
+    if provider == "ollama":
+        low, high = next(v for marks, v in PER_100.items() if not marks or any(m in model.lower() for m in marks.split()))
+    else:
+        low, high = HOSTED if provider in ("openai", "anthropic") else OTHER
+    share, (down, up) = max(examples, 25) / 100, (1.1, 1.25) if has_seeds else (0.9, 1.0)
+    least = max(1, round(low * share * down))
+    return least, max(least + 1, round(high * share * up))
+
+
 def latest(history: DataFrame, n: int = 200) -> DataFrame:
     """The last n rows of a history by time."""
     return history.orderBy(F.desc("updated_at"), F.desc("run")).limit(n)

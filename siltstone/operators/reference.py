@@ -55,7 +55,7 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
     return member.join(best, "k").select("id", "likeness")
 
 
-def semantic_overlap(generated: DataFrame | None, reference: DataFrame | None, threshold: float = SEMANTIC, spark=None) -> DataFrame:
+def semantic_overlap(generated: DataFrame | None, reference: DataFrame | None, threshold: float = SEMANTIC, others: bool = False, spark=None) -> DataFrame:
     """One row, ``semantic_overlap``: the share of generated vectors whose nearest
     reference vector reaches the threshold; 0 when a side is empty, null where there is
     no model and so no vectors (``spark`` is needed for that)."""
@@ -63,7 +63,7 @@ def semantic_overlap(generated: DataFrame | None, reference: DataFrame | None, t
         return spark.range(1).select(F.lit(None).cast("double").alias("semantic_overlap"))
     from siltstone.operators.decontamination import vector_top_k
 
-    best = vector_top_k(generated, reference, 1)
+    best = vector_top_k(generated, reference, 1, others=others)
     hits = best.agg(F.count_if(F.col("similarity") >= threshold).alias("hits"))
     return generated.agg(F.count(F.lit(1)).alias("n")).join(hits).select((F.col("hits") / F.greatest("n", F.lit(1))).alias("semantic_overlap"))
 

@@ -147,7 +147,7 @@ pid AS (
          string_agg(benchmark, ',' ORDER BY benchmark) AS flags FROM per GROUP BY id),
 verdicts AS (
   SELECT id, CASE WHEN block THEN 'block' WHEN review THEN 'review' ELSE 'clean' END AS verdict,
-         coalesce(confidence, 0.0) AS confidence, coalesce(flags, '') AS flags
+         coalesce(round(confidence, 4), 0.0) AS confidence, coalesce(flags, '') AS flags
   FROM norms LEFT JOIN pid USING (id))"""
 
 
@@ -236,28 +236,60 @@ def decon_flag_counts(spark, d):
 
 
 VECTORS = """
-WITH q AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS q FROM embeddings WHERE vec_id % 10 <> 0),
-b AS (SELECT vec_id AS item_index, [x::DOUBLE for x in embedding] AS b FROM embeddings WHERE vec_id % 10 = 0),
-sims AS (SELECT id, item_index, list_dot_product(q, b) AS similarity FROM q, b),
+q AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS q FROM embeddings WHERE vec_id % 100 = 0),
+b AS (SELECT vec_id AS item_index, [x::DOUBLE for x in embedding] AS b FROM embeddings),
+sims AS (SELECT id, item_index, list_dot_product(q, b) AS similarity FROM q, b WHERE id <> item_index),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, item_index DESC) AS match_rank FROM sims)
 """
 
 
-def vector_sides(spark, d):
-    """Every tenth vector is the benchmark side, the others are the queries."""
-    v = table(spark, d, "embeddings")
-    side = F.col("vec_id") % 10 == 0
-    return v.where(~side).select(F.col("vec_id").alias("id"), "embedding"), v.where(side).select(F.col("vec_id").alias("item_index"), "embedding")
+def vectors(spark, d, name="id"):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias(name), "embedding")
+
 
+def searched(spark, d):
+    """Every vector whose id is divisible by 100, to be looked for among all others."""
+    return vectors(spark, d).where(F.col("id") % 100 == 0), vectors(spark, d, "item_index")
 
-@query(VECTORS + "SELECT id, item_index, round(similarity, 6) AS similarity, match_rank::INT AS match_rank FROM ranked WHERE match_rank <= 3")
+
+@query(f"WITH {VECTORS} SELECT id, item_index, round(similarity, 6) AS similarity, match_rank::INT AS match_rank FROM ranked WHERE match_rank <= 3")
 def embed_topk(spark, d):
-    return decon.vector_top_k(*vector_sides(spark, d)).withColumn("similarity", _r("similarity"))
+    return decon.vector_top_k(*searched(spark, d), others=True).withColumn("similarity", _r("similarity"))
 
 
-@query(VECTORS + "SELECT count(*) FILTER (WHERE similarity >= 0.88) / count(*) AS semantic_overlap FROM ranked WHERE match_rank = 1")
+@query(f"WITH {VECTORS} SELECT count(*) FILTER (WHERE similarity >= 0.88) / count(*) AS semantic_overlap FROM ranked WHERE match_rank = 1")
 def embed_semantic_overlap(spark, d):
-    return reference.semantic_overlap(*vector_sides(spark, d))
+    return reference.semantic_overlap(*searched(spark, d), others=True)
+
+
+VECTOR_EVIDENCE = """
+q AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS q FROM embeddings WHERE vec_id % 100 <> 0),
+b AS (SELECT 'b' || (vec_id // 100 % 3) AS benchmark, vec_id AS item_index, [x::DOUBLE for x in embedding] AS b FROM embeddings WHERE vec_id % 100 = 0),
+sims AS (SELECT id, benchmark, item_index, list_dot_product(q, b) AS similarity FROM q, b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, benchmark DESC, item_index DESC) AS match_rank FROM sims),
+ev AS (SELECT id, benchmark, item_index, 'embedding' AS method, round(similarity, 4) AS confidence, match_rank FROM ranked WHERE match_rank <= 3 AND similarity >= 0.3)"""
+
+
+def contaminated(spark, d):
+    """Vectors of examples, and those whose id is divisible by 100 as three benchmarks' items."""
+    v = table(spark, d, "embeddings")
+    items = v.where(F.col("vec_id") % 100 == 0).select(F.concat(F.lit("b"), F.floor(F.col("vec_id") / 100) % 3).alias("benchmark"), F.col("vec_id").alias("item_index"), "embedding")
+    return v.where(F.col("vec_id") % 100 != 0).select(F.col("vec_id").alias("id"), "embedding"), items
+
+
+@query(f"WITH {VECTOR_EVIDENCE} SELECT id, benchmark, item_index, confidence, match_rank::INT AS match_rank FROM ev")
+def decon_embedding_evidence(spark, d):
+    """The test vectors are unrelated, so the threshold is lower than the usual one."""
+    return decon.vector_evidence(*contaminated(spark, d), threshold=0.3).drop("method")
+
+
+@query(f"""WITH {VECTOR_EVIDENCE}, pid AS (SELECT id, max(confidence) AS c, bool_or(confidence >= 0.4) AS review, string_agg(DISTINCT benchmark, ',' ORDER BY benchmark) AS flags FROM ev GROUP BY id)
+SELECT id, CASE WHEN review THEN 'review' ELSE 'clean' END AS verdict, coalesce(c, 0.0) AS confidence, coalesce(flags, '') AS flags FROM q LEFT JOIN pid USING (id)""")
+def decon_embedding_verdict(spark, d):
+    """Review by vectors, with thresholds for the unrelated test vectors."""
+    examples, items = contaminated(spark, d)
+    found = decon.evidence(examples, items, "embedding", threshold=0.3, vectors=(examples, items))
+    return decon.verdicts(examples, found, review_threshold=0.4).select("id", "verdict", "confidence", F.array_join("flags", ",").alias("flags"))
 
 
 @query("""WITH v AS (SELECT unnest([x::DOUBLE for x in embedding]) AS x, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings),
@@ -521,47 +553,116 @@ def model_ranking(spark, d):
 
 # ---- planning
 
+CLUSTERS = f"""{EX_DOC},
+k AS (
+  SELECT id, overall, topic, "user", assistant, {COMPLEXITY} AS complexity, {STYLE_A} AS style,
+         trim(regexp_replace(lower(topic), '[^a-z0-9]+', '_', 'g'), '_') || '__c0__' || {COMPLEXITY} || '__' || {STYLE_A} AS cluster_id
+  FROM ex_doc WHERE topic IS NOT NULL),
+prof AS (SELECT cluster_id, min(topic) AS topic, min(complexity) AS difficulty, min(style) AS style, count(*) AS seed_count FROM k GROUP BY 1),
+wished AS (
+  SELECT *, (SELECT 2 * count(*) FROM k) AS b, count(*) OVER () AS clusters, row_number() OVER (ORDER BY seed_count DESC, cluster_id) AS place,
+         greatest(1, round_even((SELECT 2 * count(*) FROM k) * seed_count / sum(seed_count) OVER (), 0))::BIGINT AS wish FROM prof),
+filled AS (
+  SELECT *, least(b, sum(wish) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING)) AS upto,
+         least(b, coalesce(sum(wish) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM wished),
+clusters AS (SELECT cluster_id, topic, difficulty, style, seed_count, (CASE WHEN place = clusters THEN b ELSE upto END - before)::BIGINT AS target_examples FROM filled),
+acc AS (SELECT cluster_id, count(*) AS n FROM k WHERE overall = 9 GROUP BY 1),
+st AS (
+  SELECT c.*, coalesce(n, 0) AS accepted, greatest(target_examples - coalesce(n, 0), 0) AS gap, greatest(target_examples, 1) AS floor_target
+  FROM clusters c LEFT JOIN acc USING (cluster_id)),
+sem AS (SELECT sum(target_examples) AS target, sum(accepted) AS generated, greatest(sum(target_examples) - sum(accepted), 0) AS sgap FROM st)"""
+
+GRAPH = rf"""{CLUSTERS},
+texts AS (SELECT cluster_id, "user" || ' ' || assistant AS x FROM k UNION ALL SELECT cluster_id, topic || ' ' || style || ' ' || difficulty FROM clusters),
+tok AS (SELECT DISTINCT cluster_id, t FROM (SELECT cluster_id, unnest(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+')) AS t FROM texts)),
+vec AS (
+  SELECT cluster_id, list(length(t)::DOUBLE ORDER BY t) AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY t) AS i FROM tok) WHERE i <= 24 GROUP BY 1),
+duo AS (
+  SELECT a.cluster_id AS src, b.cluster_id AS dst, a.v[:least(len(a.v), len(b.v))] AS x, b.v[:least(len(a.v), len(b.v))] AS y
+  FROM vec a, vec b WHERE a.cluster_id <> b.cluster_id),
+sim AS (
+  SELECT src, dst, round(greatest(0, least(1, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))))), 4) AS similarity FROM duo),
+edges AS (
+  SELECT * FROM (SELECT *, round(1 - similarity, 4) AS distance, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS rank FROM sim) WHERE rank <= 3)"""
+
+PRIORITY = f"""{GRAPH},
+fr AS (SELECT src AS cluster_id, sum(similarity * (gap / floor_target)) AS frontier FROM edges JOIN st ON dst = st.cluster_id GROUP BY 1),
+med AS (SELECT list_sort(list(seed_count))[count(*) // 2 + 1] AS m FROM clusters),
+pr AS (
+  SELECT st.*, sgap, sgap / greatest(target, 1) AS ratio, 0.6::DOUBLE * coalesce(frontier, 0) AS pull, accepted / floor_target AS full_,
+         CASE WHEN seed_count <= greatest(1, m) THEN 0.35::DOUBLE ELSE 0 END AS tail
+  FROM st LEFT JOIN fr USING (cluster_id), sem, med WHERE gap > 0),
+scored_pr AS (
+  SELECT *, round(gap + ratio + pull + tail - greatest(0, full_ - 1.05::DOUBLE) * 2, 4) AS priority,
+         CASE WHEN sgap > 0 AND gap > 0 AND full_ < 1.05::DOUBLE THEN least(2, greatest(0, round_even(ratio * 3 + pull + tail, 0)::INT)) ELSE 0 END AS bonus FROM pr),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, target_examples DESC, cluster_id) AS place FROM scored_pr) WHERE place <= 12)"""
+
+STATUS = f"""{GRAPH},
+tv AS (
+  SELECT sum(abs(target_examples / (SELECT sum(target_examples) FROM clusters) - accepted / greatest((SELECT sum(n) FROM acc), 1))) / 2 AS tvd,
+         sum(gap) / sum(target_examples) AS gap_ratio, count(*) FILTER (WHERE n / floor_target > 1.05::DOUBLE) AS oversaturated
+  FROM st LEFT JOIN acc USING (cluster_id)),
+direct AS (SELECT cluster_id, target_examples, least(1.0::DOUBLE, accepted / floor_target) AS own FROM st),
+near AS (SELECT src AS cluster_id, max(similarity * own) AS near FROM edges JOIN direct ON dst = direct.cluster_id GROUP BY 1),
+cover AS (
+  SELECT round(sum(least(1.0::DOUBLE, 0.8::DOUBLE * own + 0.2::DOUBLE * coalesce(near, 0)) * target_examples) / sum(target_examples), 4) AS graph_coverage
+  FROM direct LEFT JOIN near USING (cluster_id) WHERE target_examples > 0),
+parts AS (
+  SELECT round(tvd, 4) AS divergence, round(gap_ratio, 4) AS gap_ratio, round(least(target, generated) / target, 4) AS semantic_coverage, graph_coverage, oversaturated FROM tv, sem, cover)"""
+
+
+def seed_rows(spark, d):
+    return planning.with_cluster(document_examples(table(spark, d, "documents")).where(F.col("topic").isNotNull()))
+
 
 def _clusters(spark, d):
-    rows = document_examples(table(spark, d, "documents")).where(F.col("topic").isNotNull())
-    return planning.with_targets(planning.seed_profile(planning.with_cluster(rows)), 500).cache()  # a small table, read several times
+    """The plan asks for twice as many examples as there are seeds. A small table, read several times."""
+    rows = seed_rows(spark, d)
+    return planning.with_targets(planning.seed_profile(rows), 2 * rows.count()).cache()
+
+
+def _edges(spark, d, clusters):
+    return planning.neighbor_edges(planning.cluster_vectors(clusters, seed_rows(spark, d))).cache()
 
 
 def _accepted(spark, d):
-    """Rows of labelled quality stand for accepted ones, thinned to the plan's size."""
+    """Rows of labelled quality stand for accepted ones."""
     rows = planning.with_cluster(docs(spark, d).where((F.col("overall") == 9.0) & F.col("topic").isNotNull()))
-    n = distribution.counts_by(rows, F.col("cluster_id"))
-    return n.withColumn("n", F.floor(F.col("n") / 10)).cache()
+    return distribution.counts_by(rows, F.col("cluster_id")).cache()
+
+
+def _priorities(spark, d):
+    c = _clusters(spark, d)
+    return planning.prioritized(c, _edges(spark, d, c), _accepted(spark, d))
 
 
-@query(None)
+@query(f"WITH {CLUSTERS} SELECT cluster_id, seed_count, target_examples FROM clusters")
 def cluster_targets(spark, d):
     return _clusters(spark, d).select("cluster_id", "seed_count", "target_examples")
 
 
-@query(None)
+@query(f"WITH {GRAPH} SELECT src, dst, similarity, distance, rank::INT AS rank FROM edges")
 def graph_neighbors(spark, d):
-    return planning.neighbor_edges(planning.cluster_vectors(_clusters(spark, d)))
+    return _edges(spark, d, _clusters(spark, d))
 
 
-@query(None)
+@query(f"WITH {PRIORITY} SELECT cluster_id, gap, priority, bonus::INT AS bonus, place::INT AS place FROM best")
 def cluster_priority(spark, d):
-    c = _clusters(spark, d)
-    edges = planning.neighbor_edges(planning.cluster_vectors(c))
-    return planning.prioritized(c, edges, _accepted(spark, d)).select("cluster_id", "gap", "priority", "bonus", "place")
+    return _priorities(spark, d).select("cluster_id", "gap", "priority", "bonus", "place")
 
 
-@query(None)
+@query(f"""WITH {PRIORITY}, slots AS (SELECT *, unnest(generate_series(1, greatest(1, gap + bonus))) AS slot FROM best)
+SELECT cluster_id, topic, style, difficulty, slot::INT AS slot,
+       CASE WHEN difficulty = 'hard' THEN 'expert' WHEN style = 'concise' THEN 'beginner' WHEN style = 'detailed' THEN 'skeptic' ELSE 'general' END AS persona FROM slots""")
 def plan_slots(spark, d):
-    c = _clusters(spark, d)
-    edges = planning.neighbor_edges(planning.cluster_vectors(c))
-    return planning.plan_slots(planning.allocated(planning.prioritized(c, edges, _accepted(spark, d))))
+    return planning.plan_slots(planning.allocated(_priorities(spark, d)))
 
 
-@query(None)
+@query(f"""WITH {STATUS} SELECT *, round(100 * greatest(0, 1 - least(1, 0.5::DOUBLE * divergence + 0.3::DOUBLE * gap_ratio + 0.1::DOUBLE * (1 - semantic_coverage) + 0.1::DOUBLE * (1 - graph_coverage))), 2) AS match_score FROM parts""")
 def distribution_status(spark, d):
     c = _clusters(spark, d)
-    return distribution.status(c, planning.neighbor_edges(planning.cluster_vectors(c)), _accepted(spark, d))
+    return distribution.status(c, _edges(spark, d, c), _accepted(spark, d))
 
 
 # ---- rewriting, selection, inspection
@@ -580,18 +681,20 @@ _SQL_ANSWERS = f"""{EX_CONV}, ans AS (SELECT id, ([{", ".join("'" + p + "'" for
 _RISK_SQL = " + ".join("len(regexp_extract_all(a, '(?i)" + p.replace("'", "''") + "'))" for p in rewrite.RISKS)
 
 
-def _sql_soften(x: str) -> str:
-    def patterns(x, rules):
-        for p, to in rules:
-            x = f"regexp_replace({x}, '(?i){p.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
-        return x
+def _sql_patterns(x: str, rules) -> str:
+    for p, to in rules:
+        x = f"regexp_replace({x}, '(?i){p.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return x
 
-    def literals(x, rules):
-        for old, new in rules:
-            x = "replace(" + x + ", '" + old.replace("'", "''") + "', '" + new.replace("'", "''") + "')"
-        return x
 
-    return literals(patterns(literals(patterns(x, rewrite.ACTIONS), rewrite.PHRASES), rewrite.TIMES), rewrite.AWKWARD)
+def _sql_literals(x: str, rules) -> str:
+    for old, new in rules:
+        x = "replace(" + x + ", '" + old.replace("'", "''") + "', '" + new.replace("'", "''") + "')"
+    return x
+
+
+def _sql_soften(x: str) -> str:
+    return _sql_literals(_sql_patterns(_sql_literals(_sql_patterns(x, rewrite.ACTIONS), rewrite.PHRASES), rewrite.TIMES), rewrite.AWKWARD)
 
 
 @query(f"WITH {_SQL_ANSWERS} SELECT id, md5({_sql_soften('a')}) AS softened, ({_RISK_SQL})::INT AS risk FROM ans")
@@ -600,7 +703,7 @@ def soften_answers(spark, d):
     return _answers(spark, d).select("id", F.md5(rewrite.soften(a)).alias("softened"), rewrite.risk(a).alias("risk"))
 
 
-@query(None)
+@query(f"WITH {_SQL_ANSWERS} SELECT id, {_sql_literals(_sql_patterns(_sql_soften('a'), rewrite.TARGETED), rewrite.LAST)} AS reviewed FROM ans")
 def review_answers(spark, d):
     return _answers(spark, d).select("id", rewrite.review(F.col("assistant")).alias("reviewed"))
 
@@ -678,7 +781,10 @@ def chat_rendering(spark, d):
     return _messages(spark, d).select("id", writers.chat_text(F.col("messages")).alias("text"))
 
 
-@query(None)
+@query("""WITH near AS (
+  SELECT o_totalprice::DOUBLE / 10000 * 250 / (o_orderkey % 500 + 1) AS m FROM orders ORDER BY abs(o_orderkey % 500 + 1 - 250), o_orderkey DESC LIMIT 5),
+mid AS (SELECT list_sort(list(m))[count(*) // 2 + 1] AS middle FROM near)
+SELECT middle * 0.85::DOUBLE AS low, middle, middle * 1.2::DOUBLE AS high FROM mid""")
 def eta_history(spark, d):
     history = table(spark, d, "orders").select(
         F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit(True).alias("has_seeds"), (F.col("o_orderkey") % 500 + 1).alias("examples"), (F.col("o_totalprice") / 10000).cast("double").alias("minutes"), F.col("o_orderkey").alias("updated_at")
