@@ -5,13 +5,20 @@ compared to the templates. A template is a candidate for a passage only if the
 numbers of bigrams allow the threshold: with a Dice coefficient of t at least,
 sizes differ by a factor of (2 - t) / t at most. All within the row: no shuffle.
 
-Notices that share their line or paragraph with other words, or are wrapped, are
-found by word windows over the whole text: a window begins and ends at bigrams of
-the template, since others at its ends only lower the coefficient.
+Notices that share their line or paragraph with other words, or are wrapped, and whole
+licenses are found by word windows over the whole text. A window begins and ends at
+bigrams of the template, since others at its ends only lower the coefficient; and it
+begins where a run of those does, or at the template's first one, since a window that
+is extended to the left within a run has a coefficient at least as high.
+
+Short licenses and notices are built in. Longer ones (Apache, GPL, MPL) are read from a
+folder of license texts, such as a Linux distribution's, with :func:`from_folder`.
 """
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,25 +28,33 @@ BLANK = r"\n[\x20\x09-\x0D]*\n"
 
 # Names and notices of public licenses.
 TEMPLATES = {
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ARR": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 # Whole licenses, for windows only.
 WHOLE = {
-    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. " + _AS_IS,
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS,
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "Zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 THRESHOLD = 0.8
+FOLDER_CHARS = 4 << 20  # of all texts of a folder of licenses, which go to the driver and into the plan
 HITS = "array<struct<passage:int,license:string,dice:double>>"
 
 
@@ -67,6 +82,18 @@ def all_bigrams(passage: Column) -> Column:
     return once(words(passage), lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def from_folder(spark: SparkSession, folder: str) -> dict[str, str]:
+    """File name (without .txt) to text of every license text in a folder, for ``whole``.
+
+    Raises beyond FOLDER_CHARS characters in all: more templates take several scans.
+    """
+    files = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    total = files.agg(F.sum(F.length("value"))).first()[0] or 0
+    if total > FOLDER_CHARS:
+        raise ValueError(f"{total} characters of license texts; scan with {FOLDER_CHARS} at most at a time")
+    return {PurePosixPath(r["path"]).name.removesuffix(".txt"): r["value"] for r in files.collect()}
+
+
 def passages(text: Column) -> Column:
     """Lines, then paragraphs (between blank lines) of more than one line."""
     paragraphs = F.filter(F.split(text, r"\n[\x20\x09-\x0D]*\n"), lambda p: F.contains(p, F.lit("\n")))
@@ -114,8 +141,10 @@ def passage_places(text: Column) -> Column:
 def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
     """Word windows of the whole text that resemble a template, as hits without a passage.
 
-    From every bigram of the template the best window is taken; of overlapping ones
-    of a template the best stays, and none that touches a passage that is a hit.
+    From every place where a run of the template's bigrams begins, the best window is
+    taken; of overlapping ones of a template the best stays, and none that touches a
+    passage that is a hit; of windows of several templates that mean the same words,
+    those of the most alike template stay.
     """
     known = {k: g for k, t in sorted(templates.items()) if (g := template_bigrams(t))}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -150,13 +179,24 @@ def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold
 
     def of_template(t: Column, met: Column, taken: Column) -> Column:
         def search(marks: Column) -> Column:
-            found = F.transform(F.filter(marks, lambda x: x["own"]), lambda x: best_from(marks, x, t["n"]))
+            begins = lambda x, i: x["own"] & (x["first"] | (i == 0) | ~F.coalesce(F.get(marks, i - 1)["own"], F.lit(False)))
+            found = F.transform(F.filter(marks, begins), lambda x: best_from(marks, x, t["n"]))
             free = F.filter(found, lambda x: (x["dice"] >= threshold) & ~F.exists(taken, lambda h: (h["license"] == t["license"]) & (h["a"] <= x["b"]) & (x["a"] <= h["b"])))
-            return F.transform(apart(free), lambda x: F.struct(F.lit(None).cast("int").alias("passage"), t["license"].alias("license"), x["dice"].alias("dice")))
+            return F.transform(apart(free), lambda x: F.struct(t["license"].alias("license"), x["a"].alias("a"), x["b"].alias("b"), x["dice"].alias("dice")))
 
-        marks = F.transform(met, lambda x: F.struct(x["i"].alias("i"), x["last"].alias("last"), F.array_contains(t["own"], x["g"]).alias("own")))
+        marks = F.transform(met, lambda x: F.struct(x["i"].alias("i"), x["last"].alias("last"), F.array_contains(t["own"], x["g"]).alias("own"), (x["g"] == t["own"][0]).alias("first")))
         return once(marks, search)
 
+    def most_alike(windows: Column) -> Column:
+        """Hits of the windows, without those that lie half or more within half or more of a better one."""
+
+        def beats(y: Column, x: Column) -> Column:
+            common = F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"])
+            return (y["dice"] > x["dice"]) & (2 * common >= F.greatest(x["b"] - x["a"], y["b"] - y["a"]))
+
+        kept = lambda ws: F.filter(ws, lambda x: ~F.exists(ws, lambda y: beats(y, x)))
+        return F.transform(once(windows, kept), lambda x: F.struct(F.lit(None).cast("int").alias("passage"), x["license"], x["dice"]))
+
     def search_text(grams: Column, near: Column) -> Column:
         ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
         before = lambda o: F.concat(F.array(F.struct(F.lit("").alias("g"), F.lit(-1).alias("i"))), F.slice(o, 1, F.size(o) - 1))
@@ -164,7 +204,7 @@ def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold
         places = passage_places(text)
         taken = F.when(F.size(hits) > 0, once(places, lambda ps: F.transform(hits, lambda h: F.struct(h["license"].alias("license"), F.element_at(ps, h["passage"] + 1)["a"].alias("a"), F.element_at(ps, h["passage"] + 1)["b"].alias("b")))))
         no_hits = F.array().cast("array<struct<license:string,a:int,b:int>>")
-        return once(F.struct(F.array_sort(met).alias("met"), F.coalesce(taken, no_hits).alias("taken")), lambda x: F.flatten(F.transform(near, lambda t: of_template(t, x["met"], x["taken"]))))
+        return once(F.struct(F.array_sort(met).alias("met"), F.coalesce(taken, no_hits).alias("taken")), lambda x: most_alike(F.flatten(F.transform(near, lambda t: of_template(t, x["met"], x["taken"])))))
 
     def resembled(grams: Column) -> Column:
         near = once(F.array_intersect(grams, every), lambda seen: F.when(F.size(seen) > 0, F.filter(all_templates, lambda t: F.size(F.array_intersect(seen, t["own"])) >= t["n"] * low - 1e-9)))
@@ -180,9 +220,15 @@ def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold:
     return once(F.struct(text.alias("text"), passage_hits(text, templates, threshold).alias("hits")), both)
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and hits, for each row of ``docs``; other columns aren't read."""
-    return docs.select("doc_id", license_hits(text_of(docs), templates, threshold).alias("hits"))
+def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, whole: dict[str, str] = WHOLE) -> DataFrame:
+    """doc_id and hits, for each row of ``docs``.
+
+    A null or empty text has no hits, nor has one of fewer than two words; whole texts
+    are searched, however long; repeated rows get equal hits; templates that tie in
+    their coefficient are all hits; an empty table gives an empty result; other
+    columns, whatever their names, aren't read.
+    """
+    return docs.select("doc_id", license_hits(text_of(docs), templates, threshold, whole).alias("hits"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +246,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    values = ", ".join("('" + k.replace("'", "''") + "', [" + ", ".join(f"'{g}'" for g in template_bigrams(t)) + "])" for k, t in sorted(TEMPLATES.items()))
+    """The lines and paragraphs, with bigrams that SQL makes of the templates' texts."""
+    values = ", ".join("('" + k.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for k, t in sorted(TEMPLATES.items()))
     low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     return rf"""
-WITH templates(license, own) AS (VALUES {values}),
+WITH texts(license, t) AS (VALUES {values}),
+split AS (SELECT license, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM texts),
+templates AS (SELECT license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS own FROM split),
 lines AS (
   SELECT doc_id, unnest(list_concat(
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda p: p <> ''),

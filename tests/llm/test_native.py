@@ -277,3 +277,64 @@ def test_licenses_beside_other_words(spark):
     assert got[4] == [("MIT-grant", 1.0, None), ("MIT-text", 1.0, None)]
     assert got[5] == [("BSD-3-Clause", 1.0, None), ("BSD-3-Clause-text", 1.0, None)]
     assert got[6] == [("ARR", 1.0, 0), ("ARR", 1.0, None)] and got[7] == []
+
+
+def dice(a, b):
+    pairs = [{(x, y) for x, y in zip(w, w[1:])} for w in (re.findall(r"[^\W_]+", t.lower()) for t in (a, b))]
+    return 2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1]))
+
+
+def test_altered_notices_and_near_misses(spark):
+    mit, bsd = licenses.WHOLE["MIT-text"], licenses.WHOLE["BSD-3-Clause-text"]
+    named = bsd.replace("the copyright holder nor the names of its contributors", "Example Corp nor of its staff, board or owners").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHORS OF EXAMPLE")
+    spdx = "Copyright 2019-2024 Ann Lee <ann@example.com>\n" + mit.replace("sublicense, and/or sell copies", "sublicense and sell copies").replace("of the Software.", "of the Program.")
+    cases = {
+        1: named,
+        2: "// " + spdx.replace(". ", ".\n// "),
+        3: licenses.TEMPLATES["GPL-3.0-notice"].replace("This program", "Frobnicate").replace("published by the Free Software Foundation", "the FSF published it"),
+        4: mit[: len(mit) // 3],  # a third of a license is the grant alone, not the license
+        5: "Permission is needed, free of doubt, for any person who wants to use the software without restriction of the rights of others.",
+        6: "This work is licensed to nobody under a secret agreement.",
+    }
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    got = {r["doc_id"]: {h["license"]: h["dice"] for h in r["hits"]} for r in licenses.scanned(docs).collect()}
+    assert 0.8 <= got[1]["BSD-3-Clause-text"] < 1 and abs(got[1]["BSD-3-Clause-text"] - dice(named, bsd)) < 1e-9
+    assert 0.8 <= got[2]["MIT-text"] < 1
+    assert 0.8 <= got[3]["GPL-3.0-notice"] < 1
+    assert "MIT-text" not in got[4] and got[5] == got[6] == {}
+    assert set(got[1]) == {"BSD-3-Clause-text", "BSD-3-Clause"}  # the license with two clauses is less like it
+
+
+def test_whole_licenses_of_a_folder(spark, tmp_path):
+    """A license of some thousand words, wrapped anew, without some of its sections, amid other words."""
+    words = [f"w{i * 7919 % 4001}" for i in range(4000)]
+    (tmp_path / "Long-1.0.txt").write_text(" ".join(words))
+    (tmp_path / "Other-2.0.txt").write_text(" ".join(words[2500:] + [f"x{i}" for i in range(3000)]))
+    whole = licenses.from_folder(spark, str(tmp_path))
+    assert sorted(whole) == ["Long-1.0", "Other-2.0"]
+    cut = words[:1500] + ["y"] + words[1700:]
+    text = "before it " * 50 + "\n".join(" ".join(cut[i : i + 11]) for i in range(0, len(cut), 11)) + " and after" * 50
+    rows = licenses.scanned(spark.createDataFrame([(1, text), (2, " ".join(words[:1500]))], "doc_id long, text string"), whole=whole).collect()
+    hits = {r["doc_id"]: {h["license"]: h["dice"] for h in r["hits"]} for r in rows}
+    assert hits[2] == {} and list(hits[1]) == ["Long-1.0"] and hits[1]["Long-1.0"] == pytest.approx(dice(" ".join(cut), " ".join(words)))
+
+
+@pytest.mark.parametrize("name", ["ARR", "MIT", "Apache-2.0-header", "GPL-3.0-notice"])
+def test_windows_are_the_best_ones(spark, name):
+    """Against every window between any two words, in texts that repeat and mix the template's words."""
+    import random
+
+    rng, template = random.Random(name), licenses.TEMPLATES[name]
+    own = re.findall(r"[^\W_]+", template.lower())
+    texts = []
+    for _ in range(6):
+        words = [rng.choice(own) if rng.random() < 0.3 else f"z{rng.randint(0, 9)}" for _ in range(20)]
+        at = rng.randint(0, 20)
+        noisy = [w for w in own if rng.random() > 0.06]
+        texts.append(" ".join(words[:at] + noisy + words[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: max([h["dice"] for h in r["hits"]], default=0) for r in licenses.scanned(docs, {name: template}, whole={}).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        best = max(dice(" ".join(words[a:b]), template) for a in range(len(words)) for b in range(a + 2, len(words) + 1))
+        assert got[i] == (pytest.approx(best) if best >= 0.8 else 0)
