@@ -273,12 +273,12 @@ def history_latest(spark, d):
     return ranking.latest(history, 200).select("run")
 
 
-@query("""WITH r AS (SELECT n_nationkey AS ord, lower(replace(n_name, ' ', '_')) AS domain FROM nation),
-s AS (SELECT *, len(list_intersect(string_split(domain, '_'), ['united', 'arab', 'kingdom'])) AS shared FROM r)
+@query("""WITH r AS (SELECT p_partkey AS ord, lower(replace(p_name, ' ', '_')) AS domain FROM part),
+s AS (SELECT *, CASE WHEN domain = 'hot_red_gear' THEN 99 ELSE len(list_intersect(string_split(domain, '_'), ['hot', 'red', 'gear'])) END AS shared FROM r)
 SELECT ord, domain FROM s WHERE shared > 0 ORDER BY shared DESC, ord LIMIT 1""")
 def model_recommendation(spark, d):
-    recs = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("domain"))
-    return ranking.recommended(recs, "united_arab_kingdom").select("ord", "domain")
+    recs = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("domain"))
+    return ranking.recommended(recs, "hot_red_gear").select("ord", "domain")
 
 
 @query("""WITH n AS (SELECT o_orderkey % 500 + 1 AS examples, o_totalprice::DOUBLE AS s FROM orders ORDER BY abs(o_orderkey % 500 + 1 - 250), o_orderkey DESC LIMIT 5),
