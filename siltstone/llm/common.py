@@ -19,14 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which the driver and all executors share.
+
+    Local sessions without that setting (tests, notebooks) get a temporary one; a
+    cluster's executors couldn't share one, so there it is an error.
+    """
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the shared folder named by spark.checkpoint.dir.
+    """``df`` cut from its lineage, in files under :func:`shared_folder`.
 
-    Sessions without that setting (tests, notebooks) get a temporary folder.
+    Spark deletes them once they aren't referred to any more if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
