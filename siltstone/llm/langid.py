@@ -272,6 +272,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row of ``documents``, by a model of the
+    rows that aren't held out. Null, empty, very long and repeated texts as in
+    :func:`identify`, which labels whole texts; a null doc_id isn't learned from and has
+    a null held_out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~is_held_out(F.col("doc_id"))))
     return identify(docs, model, spans=False).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

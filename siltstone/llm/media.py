@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.llm.common import table
+from siltstone.llm.common import shared_folder, table
 
 BLOCK = 64
 RATE = 8000
@@ -192,45 +193,68 @@ def sniffed(df: DataFrame, content: str = "content", declared: str = "declared")
     return df.select(*kept).mapInArrow(of_batches, StructType([*df.select(*kept).schema.fields, *added.fields]))
 
 
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DECLARED = "application/octet-stream"
 
 
-def text_digests(text: str | None, search: ahocorasick.Automaton) -> tuple:
-    """A text stored as a WAV declared to be bytes, sniffed, and read back from its samples.
+def media_of_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, content, declared: each row's text as a media column.
 
-    The samples are those of the sniffed file at offset 0, so a wrong sniff shows.
-    Features: true type, mean and deviation of the samples in 1/1000, and the files
-    carved from the payload.
+    The text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the
+    samples of a WAV file that is declared to be plain bytes. A null text counts as
+    empty: 64 zero bytes.
     """
-    data = (text or "").encode()
-    media = to_wav(padded(data))
-    found = sniff(media, search)
-    outer = next(m for m in found if m.start == 0)
-    payload = wav_samples(media, outer)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [(t.as_py() or "").encode() for t in batch["text"]]
+            columns = [pa.array([len(x) for x in data], pa.int64()), pa.array([to_wav(padded(x)) for x in data], pa.binary()), pa.array([DECLARED] * len(data), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "n_bytes", "content", "declared"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of_batches, f"doc_id {kind}, n_bytes long, content binary, declared string")
+
+
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(content: bytes, kind: str, carved: int) -> tuple:
+    """Of a file that was sniffed as WAV: the digests of its samples and of itself, and the
+    feature: its type, mean and deviation of the samples in 1/1000, and the files carved."""
+    payload = wav_samples(content, Media(kind, 0, len(content)))
     samples = np.frombuffer(payload, np.uint8)
-    feature = f"{true_type('application/octet-stream', found)};mean={int(samples.mean() * 1000)};dev={int(samples.std() * 1000)};carved={len(found) - 1}"
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    feature = f"{kind};mean={int(samples.mean() * 1000)};dev={int(samples.std() * 1000)};carved={carved}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(content), hashlib.sha256(content).hexdigest(), feature
 
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the digests of :func:`text_digests` for each row of ``docs``.
+def stored_texts(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, n_bytes and the :func:`digests` of each row of ``docs``, by way of stored media.
 
-    A null text counts as empty and is stored as 64 zero bytes; repeated rows give
-    equal values; an empty table gives an empty result; other columns aren't read.
+    The media column is written to ``folder`` (a new one in the shared folder) and read
+    back; :func:`sniffed` corrects its declared type, which must come out as WAV, and
+    the digests are those of the bytes that were read. The files stay, for the caller
+    to delete with the result. Null, empty and very long texts are stored whole,
+    repeated rows give equal values, an empty table gives an empty result; other
+    columns, whatever their names, aren't read.
     """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    media_of_texts(docs).write.option("compression", "zstd").parquet(folder)
+    found = sniffed(spark.read.parquet(folder)).select("doc_id", "n_bytes", "content", "media_type", F.size("carved").alias("carved"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [x.split()[0] for x in DIGESTS.split(", ")]
         for batch in batches:
-            rows = [text_digests(t.as_py(), search) for t in batch["text"]]
+            if any(k.as_py() != "audio/wav" for k in batch["media_type"]):
+                raise ValueError("a stored file wasn't sniffed as what it is")
+            rows = [digests(c.as_py(), k.as_py(), n.as_py()) for c, k, n in zip(batch["content"], batch["media_type"], batch["carved"])]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *columns], names=["doc_id", "n_bytes", *names])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of_batches, f"doc_id {kind}, {DIGESTS}")
+    return found.mapInArrow(of_batches, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, {DIGESTS}")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored media of each row of ``documents``, by :func:`stored_texts`: doc_id,
+    n_bytes, and the digests of the payload and of the file that was read back."""
     return stored_texts(table(spark, sf_dir, "documents"))

@@ -217,7 +217,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold (ties pass).
+
+    Null, empty, very long and repeated texts are scored as in :func:`scores`; an empty
+    table gives an empty result; columns of any name are kept as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -231,6 +235,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of ``documents``, by a model of the
+    labels that aren't held out. Null, empty, very long and repeated texts as in
+    :func:`scores`; a null doc_id has a null held_out, and no label to learn from."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     score = F.col("score")

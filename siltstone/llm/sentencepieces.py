@@ -182,4 +182,6 @@ def encoded(docs: DataFrame, model: str | None = None, ids: bool = True) -> Data
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``documents``. Null,
+    empty, very long and repeated texts as in :func:`encoded`."""
     return encoded(table(spark, sf_dir, "documents"), ids=False)

@@ -30,6 +30,7 @@ BITS_PER_KEY = 12
 HASHES = 6
 MAX_LEVELS = 40
 MAX_BYTES = 64 << 20  # of one cascade, when it is broadcast
+PACKED = 1 << 13  # words of a filter that reach the driver as one value
 
 
 def mixed_up(x: np.ndarray) -> np.ndarray:
@@ -80,10 +81,17 @@ def bloom(keys: DataFrame, level: int, bits_per_key: int) -> np.ndarray:
             at = positions(h1, h2, level, words * 64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    out = np.zeros(words, np.uint64)
-    for row in keys.select("h1", "h2").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[row["word"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return out
+    def packed(of_block: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(PACKED, np.int64)  # its words are distinct
+        block[of_block["word"].to_numpy() % PACKED] = of_block["bits"].to_numpy()
+        return pd.DataFrame({"block": of_block["word"].iloc[:1] // PACKED, "words": [block.tobytes()]})
+
+    found = keys.select("h1", "h2").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    blocks = found.groupBy((F.col("word") / PACKED).cast("long").alias("at")).applyInPandas(packed, "block long, words binary")
+    out = np.zeros(-(-words // PACKED) * PACKED, np.int64)
+    for row in blocks.toLocalIterator():  # MAX_BYTES / 64 KB rows at most
+        out[row["block"] * PACKED : (row["block"] + 1) * PACKED] = np.frombuffer(row["words"], np.int64)
+    return out[:words].view(np.uint64)
 
 
 def passing(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
@@ -182,6 +190,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of each row of ``pages``. Null, empty, very long
+    and repeated URLs as in :func:`judged`."""
     rules = spark.createDataFrame([*RULES], "verdict string, rule string")
     return judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 

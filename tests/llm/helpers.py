@@ -5,6 +5,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 EXTRA = (1, "k", "r", 0.5, "f", "b")
 
 LONG = "word " * 40_000 + "end."
+VARIED = " ".join(f"w{i * 7919 % 10007:x}é{'.' if i % 13 == 0 else ''}{chr(10) if i % 41 == 0 else ''}" for i in range(25_000))
 TEXTS = [
     None,
     "",
@@ -16,6 +17,7 @@ TEXTS = [
     "Released under the MIT License.\nDer Text geht weiter und ist nicht lang.",
     "Überall grüßen Äpfel 日本語 текст ελληνικά \U0001f600 \x00 end",
     LONG,
+    VARIED,
 ]
 
 

@@ -130,6 +130,16 @@ def test_stored_texts(spark):
     assert media.stored_texts(empty(spark)).count() == 0
 
 
+def test_stored_media_are_read_back(spark, tmp_path):
+    """What the query digests is what lies in the files: another file there changes its result."""
+    docs = spark.createDataFrame([(1, "RIFF and GIF89a, BM"), (2, "x" * 64)], "doc_id long, text string")
+    first = {r["doc_id"]: r for r in media.stored_texts(docs, f"{tmp_path}/media").collect()}
+    column = spark.read.parquet(f"{tmp_path}/media")
+    found = {r["doc_id"]: r for r in media.sniffed(column).collect()}
+    assert {r["declared"] for r in column.collect()} == {media.DECLARED} and {r["media_type"] for r in found.values()} == {"audio/wav"}
+    assert all(first[i]["media_sha256"] == hashlib.sha256(r["content"]).hexdigest() for i, r in found.items())
+
+
 def plain_viterbi(scores, penalty):
     best, paths = list(scores[0]), [[k] for k in range(len(scores[0]))]
     for row in scores[1:]:
@@ -205,6 +215,18 @@ def test_a_wrong_id_fails_the_check():
         pieces.check()
 
 
+def test_held_out_rows_and_predictions_of_the_queries(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    crc = lambda i: zlib.crc32(str(i).encode())
+    langs = {r["lang"] for r in docs if r["lang"] is not None and crc(r["doc_id"]) % 3 != 1}
+    got = langid.op5_langid(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs)
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 3 == 1) and 0 <= r["score"] <= 1 and r["lang_pred"] in langs | {"und"} for r in got)
+    got = quality.op8_quality(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs)
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+
+
 def test_sum_of_squares_equals_the_pairs():
     rng = np.random.default_rng(0)
     size = quality.WORDS + len(quality.STATS)
