@@ -1,36 +1,62 @@
-"""python -m siltstone audit|export|compare: thin commands over the engine."""
+"""python -m siltstone audit|export|compare|inspect|uplift|validate: thin commands over the engine."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.operators import artifacts, evaluation
+from siltstone.plans import reports
 from siltstone.plans.engine import Engine
-from siltstone.plans.reports import eval_summary, write_summary
-from siltstone.sources import writers
+from siltstone.sources import jsonl, runs, writers
+
+METRICS = "match double, uplift_f1 double, uplift_success double, uplift_passed double"
+
+
+def scored_against(engine: Engine, predictions: str, holdout: str) -> DataFrame:
+    """Predictions (the answers of a JSONL file) against the holdout's answers, by place."""
+    own, theirs = engine.read(predictions), engine.read(holdout)
+    pairs = evaluation.positional(own.select("ord", "assistant"), theirs.select("ord", "assistant", "topic"))
+    return evaluation.prediction_scores(pairs, "p_assistant", "h_assistant", "h_topic")
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="siltstone")
-    p.add_argument("command", choices=("audit", "export", "compare"))
-    p.add_argument("path")
+    p.add_argument("command", choices=("audit", "export", "compare", "inspect", "uplift", "validate"))
+    p.add_argument("path", help="examples; of uplift the holdout, of validate a folder of runs")
     p.add_argument("--config", default="siltstone.yaml")
     p.add_argument("--reference", help="examples to compare with")
+    p.add_argument("--base", help="the base model's answers to the holdout")
+    p.add_argument("--tuned", help="the tuned model's")
+    p.add_argument("--sort", default="score", choices=("score", "topic", "reason"))
     p.add_argument("--format", default="jsonl")
     p.add_argument("--out", default="./output")
-    p.add_argument("--name", default="dataset")
+    p.add_argument("--name")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("siltstone").getOrCreate()
-    engine = Engine(spark, Config.from_yaml(args.config))
-    rows = engine.read(args.path)
+    engine, name = Engine(spark, Config.from_yaml(args.config)), args.name or jsonl.dataset_name(args.path)
     if args.command == "export":
-        print(writers.export(rows, args.format, args.out, args.name))
-        return
-    audited = engine.audit(rows)
-    other = engine.audit(engine.read(args.reference)) if args.reference else None
-    write_summary(eval_summary(audited, engine.report(audited), other), f"{args.out}/{args.name}_summary", args.name)
+        print(writers.export(engine.read(args.path), args.format, args.out, name))
+    elif args.command == "inspect":
+        rows = jsonl.read_examples(spark, args.path, keep_scores=True).withColumn("id", F.substring(F.md5(F.to_json("messages")), 1, 12))
+        rows = rows.withColumn("topic", jsonl.metadata_field("topic")).withColumn("rejection_reasons", F.array().cast("array<string>"))
+        placed = artifacts.inspect_place(rows, args.sort)
+        sheet = artifacts.csv_rows(artifacts.preview(placed)).join(placed.select("id", "place"), "id").orderBy("place").drop("place")
+        writers.csv(sheet, f"{args.out}/{name}_sheet")
+    elif args.command == "uplift":
+        found = reports.uplift_report(scored_against(engine, args.base, args.path), scored_against(engine, args.tuned, args.path), args.base, args.tuned, args.path)
+        reports.write_summary(found, f"{args.out}/{name}_uplift", name)
+    elif args.command == "validate":
+        found = reports.validation_report(runs.run_table(spark, args.path, "_run.json", METRICS))
+        print(json.dumps(found))
+    else:
+        audited = engine.audit(engine.read(args.path))
+        other = engine.audit(engine.read(args.reference)) if args.reference else None
+        reports.write_summary(reports.eval_summary(audited, engine.report(audited), other), f"{args.out}/{name}_summary", name)
 
 
 if __name__ == "__main__":

@@ -18,6 +18,13 @@ def sample(rows: DataFrame, k: int | None = SAMPLE, seed: int | None = SAMPLE_SE
     return rows.orderBy("id" if seed is None else F.xxhash64("id", F.lit(seed)), "id").limit(k)
 
 
+def embeddable(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows whose answer isn't blank, which vector metrics are about; the first ``n`` by id
+    if given, the sample that a model is asked for."""
+    kept = rows.where(F.trim(F.coalesce("assistant", F.lit(""))) != "")
+    return kept if n is None else kept.orderBy("id").limit(n)
+
+
 def mean_gram_distance(rows: DataFrame, n: int = 3) -> DataFrame:
     """One row, ``diversity``: the mean Jaccard distance of all pairs of (id, assistant).
 

@@ -189,6 +189,17 @@ def topic_counts(trees: DataFrame) -> DataFrame:
     return trees.select("root", F.size("branches").alias("branches"), leaves.alias("leaves"))
 
 
+def topic_batches(leaves: DataFrame, target: int, batch_size: int) -> DataFrame:
+    """Adds examples to (root, i, j, topic): how many to ask for of each topic, in order,
+    evenly, a batch at most, until the target is asked for; topics beyond it go."""
+    whole = Window.partitionBy("root")
+    share = F.greatest(F.lit(1), F.floor(F.lit(target) / F.count(F.lit(1)).over(whole)))
+    size = F.least(share, F.lit(batch_size))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("i", "j"))  # a tree's leaves: some hundreds
+    planned = leaves.withColumn("size", size).withColumn("before", (place - 1) * F.col("size"))
+    return planned.withColumn("examples", F.least("size", target - F.col("before")).cast("int")).where("examples > 0").drop("size", "before")
+
+
 def topic_leaves(trees: DataFrame) -> DataFrame:
     """root, place, topic: trees (root, branches) flattened to 'branch — leaf', in order."""
     branches = trees.select("root", F.posexplode("branches").alias("i", "b"))

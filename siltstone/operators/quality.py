@@ -87,6 +87,12 @@ def issue_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("quality_issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_map(counts: DataFrame, key: str) -> DataFrame:
+    """One row, ``counts``: a map from (key, n), a small table, in the order of the keys."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("n").alias("n"))))
+    return counts.where(F.col(key).isNotNull()).agg(F.map_from_entries(entries).alias("counts"))
+
+
 def duplicate_stats(rows: DataFrame) -> DataFrame:
     """groups: equal pairs of normalised texts; members: the rows in them, first ones too."""
     pairs = rows.groupBy(pair_key(F.col("user"), F.col("assistant")).alias("k")).agg(F.count(F.lit(1)).alias("n"))

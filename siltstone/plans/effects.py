@@ -90,6 +90,15 @@ def judged(examples: DataFrame, judge: Batch, batch_size: int | None = None) ->
     return out.withColumn("judge_issues", issues).withColumn("quality_details", details).drop("replied", *more)
 
 
+def predicted(holdout: DataFrame, model: Batch, batch_size: int | None = None) -> DataFrame:
+    """Adds ``prediction`` to (id, user, assistant): what a model, called with id and user,
+    answers (id, prediction); '' where it fails or leaves a row out."""
+    kind = dict(holdout.dtypes)["id"]
+    blank = lambda one: one[["id"]].assign(prediction="")
+    found = applied(holdout.select("id", "user"), model, f"id {kind}, prediction string", failed=blank, batch_size=batch_size)
+    return holdout.join(found, "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+
+
 def template_writer(text: str = "Answer for {topic} ({persona}, {difficulty}), slot {slot}") -> Batch:
     """A generator for tests: one example per slot, from a template."""
 

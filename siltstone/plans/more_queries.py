@@ -311,6 +311,27 @@ def vector_cosines(spark, d):
     return v.join(nearby, "id").select("id", F.round(vectors.clamped_cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
 
 
+@query(f"WITH {EX_DOC} SELECT id FROM ex_doc WHERE trim(assistant) <> '' ORDER BY id LIMIT 200")
+def embeddable_texts(spark, d):
+    """The sample that a model is asked for; its size is the feature."""
+    return diversity.embeddable(document_examples(table(spark, d, "documents")), 200).select("id")
+
+
+@query(f"WITH {SCORED}, u AS (SELECT unnest(quality_issues) AS issue FROM scored), c AS (SELECT issue, count(*) AS n FROM u GROUP BY 1) SELECT string_agg(issue || '=' || n, ',' ORDER BY issue) AS counts FROM c")
+def issue_map(spark, d):
+    one = quality.count_map(quality.issue_counts(scored_docs(spark, d)), "issue")
+    return one.select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query(TREES + """, l AS (SELECT root, name || ' — ' || unnest(leaves) AS topic FROM b),
+p AS (SELECT *, least(greatest(1, 15 // count(*) OVER (PARTITION BY root)), 5) AS size, row_number() OVER (PARTITION BY root ORDER BY topic) - 1 AS place FROM l)
+SELECT root, sum(least(size, 15 - place * size))::BIGINT AS examples, count(*) AS topics FROM p WHERE place * size < 15 GROUP BY root""")
+def topic_batches(spark, d):
+    """Fifteen examples of each tree, five at most at a time."""
+    plan = planning.topic_batches(planning.topic_leaves(_trees(spark, d)), 15, 5)
+    return plan.groupBy("root").agg(F.sum("examples").alias("examples"), F.count(F.lit(1)).alias("topics"))
+
+
 @query(f"WITH {EX_DOC} SELECT count(*) AS n FROM (SELECT id FROM ex_doc ORDER BY id LIMIT 50)")
 def diversity_sample(spark, d):
     """How many rows the sample drawn by hash has: its size is the feature."""

@@ -6,24 +6,75 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siltstone.operators import quality, reference
+from siltstone.operators import evaluation, quality, reference
 from siltstone.sources import writers
 
 
-def eval_summary(audited: DataFrame, report: DataFrame, other: DataFrame | None = None, baseline: DataFrame | None = None) -> dict:
-    """The report row, the five most frequent issues, the comparison with a reference
-    set, and the changes against a baseline report."""
-    out = {"summary": report.first().asDict()}
-    top = quality.issue_counts(audited).orderBy("n", ascending=False).limit(5)
+def eval_summary(audited: DataFrame, report: DataFrame, other: DataFrame | None = None, baseline: DataFrame | None = None, status: dict | None = None, rounds: list[dict] = ()) -> dict:
+    """The report row, the five most frequent issues (of equals the first by name), the
+    comparison with a reference set, and the changes against a baseline report.
+
+    ``status`` is a row of :func:`distribution.status`; with a reference set too, the
+    summary says how far the two scores agree. ``rounds`` are those of an expansion.
+    """
+    out = {"summary": report.first().asDict(), "rounds": len(rounds)}
+    top = quality.issue_counts(audited).orderBy(F.desc("n"), "issue").limit(5)
     out["top_issues"] = {r["issue"]: r["n"] for r in top.collect()}
+    if status:
+        out["distribution"] = dict(status)
     if other is not None:
         out["reference_comparison"] = reference.alignment(audited, other).first().asDict()
+    if other is not None and status:
+        match, aligned, graph = status["match_score"], out["reference_comparison"]["alignment_score"], status["graph_coverage"]
+        out["distribution_validation"] = {
+            "status": "reference_calibrated", "match_score": match, "alignment_score": aligned, "graph_coverage": round(100 * graph, 2),
+            "calibration_error": round(abs(match - aligned), 4), "validated_score": round(0.45 * match + 0.45 * aligned + 10 * graph, 2),
+        }
     if baseline is not None:
         out["baseline_comparison"] = reference.baseline_deltas(report, baseline, ["avg_score", "pass_rate"]).first().asDict()
     return out
 
 
+METRICS = ("avg_success", "avg_passed", "avg_f1", "avg_empathy")
+
+
+def uplift_report(base: DataFrame, tuned: DataFrame, base_model: str, tuned_model: str, holdout: str) -> dict:
+    """Two models' scored predictions on one holdout (see :func:`evaluation.prediction_scores`)
+    as metrics of each, over all topics, and the differences."""
+    one = lambda rows: evaluation.holdout_metrics(rows).where("topic = 'all topics'").first()
+    b, t = one(base), one(tuned)
+    sides = {name: {m: round(row[m] or 0.0, 4) for m in METRICS} for name, row in (("base", b), ("tuned", t))}
+    return {"base_model": base_model, "tuned_model": tuned_model, "holdout": holdout, **sides, "uplift": {m: round((t[m] or 0.0) - (b[m] or 0.0), 4) for m in METRICS}}
+
+
+def validation_report(runs: DataFrame) -> dict:
+    """Whether the match score tells uplift, over runs (match, uplift_f1, uplift_success, uplift_passed)."""
+    return {k: v if v is None or isinstance(v, int) else round(v, 4) for k, v in evaluation.metric_validation(runs).first().asDict().items()}
+
+
+DIMENSIONS = ("task success", "policy", "completeness", "escalation", "tone", "no hallucination")
+
+
+def proof_bundle(found: dict, folder: str, name: str, base_model: str, holdout: str | None = None, trainer: str = "trainer") -> Path:
+    """A folder to check an uplift with: the summary, a rubric, the holdout's lines, and two
+    scripts that say what to run and do nothing else."""
+    out = Path(folder) / f"{name.replace(' ', '_').replace('/', '_')}_proof"
+    out.mkdir(parents=True, exist_ok=True)
+    write_summary(found, str(out / "proof_summary"), name)
+    (out / "rubric.json").write_text(json.dumps({"dimensions": list(DIMENSIONS), "scale": "1-5"}, indent=2))
+    lines = Path(holdout) if holdout else None
+    if lines and lines.is_file():
+        (out / lines.name).write_text(lines.read_text())
+    say = lambda text: f"#!/usr/bin/env bash\nset -eu\necho {json.dumps(text)}\n"
+    scripts = {"finetune.sh": f"{trainer}: train {base_model} on {name}", "evaluate.sh": f"score {base_model} and the tuned model on {lines.name if lines else 'a holdout'} by rubric.json"}
+    for file, text in scripts.items():
+        (out / file).write_text(say(text))
+        (out / file).chmod(0o755)
+    return out
+
+
 def markdown(found: dict, title: str, level: int = 1) -> str:
     lines = [f"{'#' * level} {title}", ""]
     for k, v in found.items():

@@ -111,6 +111,14 @@ def corpus(spark: SparkSession, folder: str | None, names=tuple(SIGNATURES), lim
     return out, sources
 
 
+def provenance(items_: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """benchmark, source (table or signatures), samples, error (why a table wasn't read)."""
+    rows = [(name, said.split(" ")[0], said[said.index("(") + 1 : -1] if "(" in said else None) for name, said in sources.items()]
+    known = items_.sparkSession.createDataFrame(rows, "benchmark string, source string, error string")
+    counts = items_.groupBy("benchmark").agg(F.count(F.lit(1)).alias("samples"))
+    return known.join(counts, "benchmark", "left").select("benchmark", "source", F.coalesce("samples", F.lit(0)).alias("samples"), "error")
+
+
 def cached_corpus(spark: SparkSession, folder: str | None, cache: str, names=tuple(SIGNATURES), limit: int = 200) -> DataFrame:
     """The corpus with its normalised texts and hashes, kept under ``cache`` for the same
     benchmarks, limit and texts; anything else makes another table."""

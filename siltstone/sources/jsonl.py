@@ -83,6 +83,11 @@ def read_examples(spark: SparkSession, path: str, keep_scores: bool = False) ->
     return parse_examples(read_lines(spark, path), keep_scores)
 
 
+def dataset_name(path: str) -> str:
+    """A dataset is named after its file, without folder and ending."""
+    return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
 def metadata_field(name: str) -> Column:
     return F.try_variant_get("metadata", f"$.{name}", "string")
 

@@ -1,3 +1,5 @@
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import assembly, ranking
@@ -45,3 +47,35 @@ def test_bundle_and_history(spark, tmp_path):
     assert one.count() == 8 and len(list((tmp_path / "cache").iterdir())) == 1
     benchmarks.cached_corpus(spark, None, str(tmp_path / "cache"), ("arc",))
     assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def test_reports_of_uplift_and_validation(spark, tmp_path):
+    from siltstone.operators import evaluation
+    from siltstone.plans import effects
+
+    holdout = spark.createDataFrame([(i, f"q{i}", f"the answer number {i} is here", "t") for i in range(6)], "id long, user string, assistant string, topic string")
+
+    def model(batch):
+        if 3 in list(batch["id"]):
+            raise ValueError("no answer")
+        return pd.DataFrame({"id": batch["id"], "prediction": [f"the answer number {i} is here" for i in batch["id"]]})
+
+    score = lambda m: evaluation.prediction_scores(effects.predicted(holdout, m), "prediction", "assistant", "topic")
+    rows = {r["id"]: r["prediction"] for r in effects.predicted(holdout.coalesce(1), model).collect()}
+    assert rows[3] == "" and all(rows[i] for i in (0, 1, 2, 4, 5))
+    empty = lambda batch: pd.DataFrame({"id": batch["id"], "prediction": ""})
+    found = reports.uplift_report(score(empty), score(model), "base", "tuned", "holdout.jsonl")
+    assert found["uplift"]["avg_success"] == pytest.approx(5 / 6, abs=1e-4) and found["base"]["avg_f1"] == 0
+    runs_ = spark.createDataFrame([(1.0, 0.1, 0.2, 0.3), (2.0, 0.2, 0.4, 0.1), (3.0, None, 0.1, 0.1)], "match double, uplift_f1 double, uplift_success double, uplift_passed double")
+    assert reports.validation_report(runs_)["runs"] == 2 and reports.validation_report(runs_)["corr_uplift_f1"] == 1.0
+    (tmp_path / "h.jsonl").write_text("{}")
+    bundle = reports.proof_bundle(found, str(tmp_path), "my set", "m", str(tmp_path / "h.jsonl"))
+    assert {p.name for p in bundle.iterdir()} >= {"proof_summary.json", "proof_summary.md", "rubric.json", "h.jsonl", "finetune.sh", "evaluate.sh"}
+
+
+def test_provenance_estimates_and_trees(spark):
+    items, sources = benchmarks.corpus(spark, "/nowhere", ("arc", "gsm8k"))
+    got = {r["benchmark"]: (r["source"], r["samples"]) for r in benchmarks.provenance(items, sources).collect()}
+    assert got == {"arc": ("signatures", 8), "gsm8k": ("signatures", 10)} and benchmarks.provenance(items, sources).where("error is null").count() == 0
+    assert ranking.rough_eta("ollama", "qwen-72b", 100, True) == (8, 15) and ranking.rough_eta("openai", "x", 10, False) == (1, 2)
+    assert ranking.rounded_eta(spark.createDataFrame([(0.2, 0.9)], "low double, high double")).first().asDict() == {"low": 1, "high": 2}
