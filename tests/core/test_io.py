@@ -36,7 +36,7 @@ def lines(tmp_path):
 def test_dialects(spark, lines):
     rows = jsonl.read_examples(spark, lines, keep_scores=True).orderBy("ord").collect()
     assert [(r["user"], r["assistant"]) for r in rows][:5] == [("how do I reset it", "press the button"), ("u2", "a2"), ("do\n\nwith this", "done"), ("do", "done too"), ("h", "g")]
-    assert len(rows) in (5, 6)  # a null messages key may count as none
+    assert len(rows) == 5  # a record whose messages are null is dropped: its key is there
     assert rows[0]["quality_score"] == 8.5 and rows[1]["quality_score"] is None
     assert rows[4]["messages"][2]["role"] == "user"
     meta = jsonl.read_examples(spark, lines).orderBy("ord").select(jsonl.metadata_field("topic")).first()[0]
