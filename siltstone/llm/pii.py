@@ -57,6 +57,7 @@ MIN_INSTANCES = 5  # distinct known ones, of a pattern
 MIN_SCORE = 0.7  # of a candidate
 UNKNOWN = 0.25  # weight against a pattern of an instance of no known kind
 LONGEST = 320  # characters of a mention that has a shape; emails have at most 254
+GROUP = 256  # matches of a text whose places are summed up together
 PATTERN_CHARS = 64  # longer patterns are told apart by a hash
 
 MATCH = "struct<s:int,e:int,v:string,before:string,after:string>"
@@ -104,17 +105,27 @@ def shape(core: Column) -> Column:
     return F.when(code("a-f"), "hex").when(code("A-Z"), "upper").when(code("A-Za-z"), "code").otherwise(classes)
 
 
+def once(value: Column, of) -> Column:
+    """``of`` of a value that is computed once, however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def matches(text: Column, found: Column, pieces: Column, beside: bool = False) -> Column:
     """array<MATCH> from the matches of a pattern and the pieces of text between them.
 
-    Positions are running sums of the pieces' and matches' lengths, in code points.
-    With ``beside``, also the whole words next to a match: two before, one after.
+    Positions are running sums of the pieces' and matches' lengths, in code points:
+    first within groups of GROUP matches, then of the groups, so that a text with very
+    many matches takes time in proportion to them. With ``beside``, also the whole words
+    next to a match: two before, one after.
     """
     empty = F.array().cast(f"array<{MATCH}>")
     n = F.size(found)
     sides = F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     steps = F.zip_with(sides, found, lambda p, v: F.struct(p["a"].alias("a"), p["b"].alias("b"), v.alias("v")))
 
+    def hit(s: Column, e: Column, x: Column, before: Column, after: Column) -> Column:
+        return F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after")).cast(MATCH)
+
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["a"])
         e = s + F.length(x["v"])
@@ -122,11 +133,19 @@ def matches(text: Column, found: Column, pieces: Column, beside: bool = False) -
         if beside:
             before = F.regexp_extract(x["a"], r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){1,2}+$", 0)
             after = F.regexp_extract(x["b"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)
-        hit = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(hit.cast(MATCH))).alias("out"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(hit(s, e, x, before, after))).alias("out"))
+
+    def groups(all_steps: Column) -> Column:
+        own = lambda i: F.aggregate(F.slice(all_steps, i * GROUP + 1, GROUP), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), own)
+
+    def shifted(acc: Column, group: Column) -> Column:
+        return F.struct((acc["at"] + group["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), group["out"].alias("out")))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(n > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(empty)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<base:int,out:array<{MATCH}>>>").alias("out"))
+    placed = F.aggregate(once(steps, groups), start, shifted, lambda acc: acc["out"])
+    moved = F.flatten(F.transform(placed, lambda g: F.transform(g["out"], lambda x: hit(x["s"] + g["base"], x["e"] + g["base"], x, x["before"], x["after"]))))
+    return F.when(n > 0, moved).otherwise(empty)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

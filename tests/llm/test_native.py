@@ -144,6 +144,12 @@ def test_hidden_identifiers_are_found_again(spark):
     assert beyond and all(pii.FOUND_KINDS[k] == "secret" or (pii.KINDS[k] == "card" and re.fullmatch("[0-9]{16}", i) and not luhn(i)) for k, i in beyond)
 
 
+def test_very_many_matches_of_one_text(spark):
+    text = " ".join(f"x{i} 10.0.{i % 300}.{i % 256}" for i in range(40_000))
+    spans = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.spans_text(F.col("base")).alias("s")).first()["s"]
+    assert spans == plain_spans(text)
+
+
 def test_pii_of_awkward_and_empty_tables(spark):
     rows = pii.detect(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 3 and all(r["found"] == [] for r in rows)
