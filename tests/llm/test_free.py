@@ -207,6 +207,15 @@ def test_encoded(spark):
     assert sentencepieces.encoded(empty(spark)).count() == 0
 
 
+def test_segments_are_forgotten_and_met_again():
+    pieces = sentencepieces.Pieces(MODEL, limit=20)
+    for i in range(200):
+        text = f"word{i % 50} and other{i % 7} ﬁ日本 {i}"
+        assert pieces.encode(text) == ",".join(map(str, LIBRARY.encode(text)))
+        pieces.check()
+        assert len(pieces) + len(pieces.older) <= 60
+
+
 def test_a_wrong_id_fails_the_check():
     pieces = sentencepieces.Pieces(MODEL)
     pieces.encode("hello")
