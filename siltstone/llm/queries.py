@@ -1,6 +1,6 @@
 """The training-data operators as queries: name to function of (session, folder)."""
 
-from siltstone.llm import exact_dedup, langid, licenses, media, mixing, pii, quality, sentencepieces, simhash, urls
+from siltstone.llm import exact_dedup, langid, licenses, media, mixing, pii, quality, sentencepieces, simhash, spelling, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_url_filter": urls.op9_url_filter,
     "op10_licenses": licenses.op10_licenses,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force or held-out rows.
