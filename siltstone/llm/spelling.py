@@ -101,17 +101,27 @@ def keys_of(word: str, order: dict[str, int], rarest: int = RAREST) -> tuple[lis
     return own + [key(s, len(word) + 1) for s in sides], own
 
 
+def parities(word: str) -> int:
+    """Of 64 classes of letters, those that a word has an odd number of: one edit changes
+    two at most."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << (ord(c) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def keyed(words: DataFrame, order: dict[str, int]) -> DataFrame:
-    """(word, n) with the keys of both roles."""
+    """(word, n) with the keys of both roles, and the word's parities."""
     shared = words.sparkSession.sparkContext.broadcast(order)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [keys_of(w, shared.value) for w in batch["word"].to_pylist()]
             columns = [pa.array([b[i] for b in both], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], *columns], names=["word", "n", "as_shorter", "as_longer"])
+            odd = pa.array([parities(w) for w in batch["word"].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], odd, *columns], names=["word", "n", "odd", "as_shorter", "as_longer"])
 
-    return words.select("word", "n").mapInArrow(of_batches, "word string, n long, as_shorter array<long>, as_longer array<long>")
+    return words.select("word", "n").mapInArrow(of_batches, "word string, n long, odd long, as_shorter array<long>, as_longer array<long>")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -121,12 +131,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ``words`` is checkpointed, has each word once, and words of four letters at least.
     """
     both = checkpointed(keyed(words, bigram_order(words)))
-    a = both.select(F.explode("as_shorter").alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    b = both.select(F.explode("as_longer").alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    a = both.select(F.explode("as_shorter").alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    b = both.select(F.explode("as_longer").alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
     longer = F.length("b") - F.length("a")
     ordered = (longer == 1) | ((longer == 0) & (F.col("a") < F.col("b")))
+    alike = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2  # cheaper than the distance
     # not hashed in memory: AQE can split the partitions of frequent keys of a sorted join
-    met = a.join(b.hint("merge"), "key").where(ordered & (F.levenshtein("a", "b", 1) == 1))
+    met = a.join(b.hint("merge"), "key").where(alike & ordered & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b", "n_a", "n_b").distinct()
 
 
