@@ -1,6 +1,6 @@
 """The training-data operators as queries: name to function of (session, folder)."""
 
-from siltstone.llm import alignment, exact_dedup, langid, licenses, media, mixing, pii, quality, sentencepieces, simhash, spelling, urls
+from siltstone.llm import alignment, exact_dedup, langid, licenses, media, mixing, pii, quality, sentencepieces, simhash, spelling, suffixes, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "op11_spelling": spelling.op11_spelling,
     "op12_alignment": alignment.op12_alignment,
+    "op13_suffix_dedup": suffixes.op13_suffix_dedup,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force or held-out rows.
