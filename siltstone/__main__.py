@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "export":
         print(writers.export(engine.read(args.path), args.format, args.out, name))
     elif args.command == "inspect":
-        rows = jsonl.read_examples(spark, args.path, keep_scores=True).withColumn("id", F.substring(F.md5(F.to_json("messages")), 1, 12))
+        rows = jsonl.with_ids(jsonl.read_examples(spark, args.path, keep_scores=True))
         rows = rows.withColumn("topic", jsonl.metadata_field("topic")).withColumn("rejection_reasons", F.array().cast("array<string>"))
         placed = artifacts.inspect_place(rows, args.sort)
         sheet = artifacts.csv_rows(artifacts.preview(placed)).join(placed.select("id", "place"), "id").orderBy("place").drop("place")

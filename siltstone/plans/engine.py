@@ -9,7 +9,7 @@ from siltstone.config import Config
 from siltstone.operators import decontamination as decon
 from siltstone.operators import distribution, diversity, planning, quality, selection
 from siltstone.plans.effects import Batch, applied, constant_judge, judged
-from siltstone.plans.sizes import stored
+from siltstone.plans.sizes import stored, with_unique
 from siltstone.sources import benchmarks, jsonl, writers
 
 MADE = "cluster_id string, topic string, slot int, user string, assistant string, error string"
@@ -27,15 +27,19 @@ class Engine:
         self.judge, self.generator = judge or constant_judge(), generator
 
     def read(self, path: str, keep_scores: bool = False) -> DataFrame:
-        rows = jsonl.read_examples(self.spark, path, keep_scores)
-        return rows.withColumn("id", F.substring(F.md5(F.to_json("messages")), 1, 12)).withColumn("topic", F.coalesce(jsonl.metadata_field("topic"), F.lit("unknown")))
+        """The examples of a file or folder. Lines that repeat have ids of their own, and
+        share a content_id."""
+        rows = jsonl.with_ids(jsonl.read_examples(self.spark, path, keep_scores))
+        return rows.withColumn("topic", F.coalesce(jsonl.metadata_field("topic"), F.lit("unknown")))
 
     def audit(self, examples: DataFrame, bench: DataFrame | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """Scores, issues, verdict and flags for every example.
 
         What the judge says is stored before it is used, since it may be an external
-        service: it sees each row once. ``vectors`` as in :func:`decon.evidence`.
+        service: it sees each row once. ``vectors`` as in :func:`decon.evidence`. Ids
+        that repeat are an error, since scores and verdicts are joined by them.
         """
+        examples = stored(with_unique(examples, "id"))
         if bench is None:
             bench, _ = benchmarks.corpus(self.spark, None, self.config.decontamination.benchmarks)
         c = self.config.decontamination

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from siltstone.operators import artifacts, assembly, diversity, distribution, ev
 from siltstone.operators.views import document_examples, table
 from siltstone.plans import catalog
 from siltstone.plans.catalog import CLUSTERS, DECON, EX_CONV, EX_DOC, F1, GRAPH, ORACLE, SCORED, STATUS, _accepted, _clusters, _edges, _messages, _r, _scored_pairs, convs, evidence, query, scored_docs, seed_rows
+from siltstone.plans.sizes import shared_folder
 from siltstone.sources import jsonl, runs, writers
 
 # ---- sources and exports
@@ -28,8 +28,7 @@ def export_openai(spark, d):
 SELECT n AS turns, md5("user") AS user_md5, md5(assistant) AS assistant_md5, count(*) AS conversations FROM t WHERE n >= 2 GROUP BY ALL""")
 def jsonl_round_trip(spark, d):
     """Conversations written as JSON lines to a folder of the run, and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-export-")
-    path = writers.export(_messages(spark, d).withColumn("ord", F.col("id")), "jsonl", f"{shared}/export-{uuid.uuid4().hex}", "conversations")
+    path = writers.export(_messages(spark, d).withColumn("ord", F.col("id")), "jsonl", f"{shared_folder(spark)}/export-{uuid.uuid4().hex}", "conversations")
     rows = jsonl.read_examples(spark, path)
     return rows.groupBy(F.size("messages").cast("long").alias("turns"), F.md5("user").alias("user_md5"), F.md5("assistant").alias("assistant_md5")).agg(F.count(F.lit(1)).alias("conversations"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -17,16 +17,30 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder named by spark.checkpoint.dir.
+def with_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df``, in which no value of ``key`` repeats; raises otherwise."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"{key} repeats: {', '.join(str(r[key]) for r in twice)}; give each row one of its own (sources.jsonl.with_ids)")
+    return df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which the driver and all executors share.
 
-    Local sessions without that setting (tests, notebooks) get a temporary folder; a
+    Local sessions without that setting (tests, notebooks) get a temporary one; a
     cluster's executors couldn't share one, so there it is an error.
     """
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the :func:`shared_folder`."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -83,6 +83,13 @@ def read_examples(spark: SparkSession, path: str, keep_scores: bool = False) ->
     return parse_examples(read_lines(spark, path), keep_scores)
 
 
+def with_ids(rows: DataFrame) -> DataFrame:
+    """Adds ``id``, which tells all rows apart (from ``ord``, the line's place), and
+    ``content_id``, which equal messages share."""
+    place = F.to_json(F.struct("ord"))
+    return rows.withColumn("id", F.md5(place)).withColumn("content_id", F.md5(F.to_json(F.struct("messages"))))
+
+
 def dataset_name(path: str) -> str:
     """A dataset is named after its file, without folder and ending."""
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]

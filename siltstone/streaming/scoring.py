@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators.quality import scored
 from siltstone.plans.effects import Batch, judged
-from siltstone.sources.jsonl import parse_examples
+from siltstone.plans.sizes import stored
+from siltstone.sources.jsonl import parse_examples, with_ids
 
 
 def score_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, judge: Batch) -> StreamingQuery:
@@ -17,10 +18,12 @@ def score_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, ju
     Each batch writes its own folder, replaced if the batch is run again after a
     failure, so that every line is scored into the output exactly once.
     """
-    lines = spark.readStream.text(folder).withColumn("ord", F.struct(F.col("_metadata.file_path").alias("f"), F.xxhash64("value").alias("m")))
+    lines = spark.readStream.text(folder).withColumn("f", F.col("_metadata.file_path"))
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = parse_examples(batch).withColumn("id", F.substring(F.md5(F.to_json("messages")), 1, 12)).drop("metadata", "ord")
+        # a line's place in the batch tells lines apart that repeat; settled, since rows are joined by it
+        placed = batch.withColumn("ord", F.struct("f", F.lit(number).alias("b"), F.monotonically_increasing_id().alias("m")))
+        rows = stored(with_ids(parse_examples(placed)).drop("metadata", "ord"))
         scored(judged(rows, judge)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

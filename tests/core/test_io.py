@@ -188,3 +188,41 @@ def test_stream_resumes(spark, tmp_path):
         score_stream(spark, folder, out, check, effects.constant_judge(8.0)).awaitTermination(120)
         assert spark.read.parquet(out).count() == n + 1
     assert spark.read.parquet(out).agg(F.max("quality_score")).first()[0] == 6.5
+
+
+def chat(user, assistant):
+    return json.dumps({"messages": [{"role": "user", "content": user}, {"role": "assistant", "content": assistant}]})
+
+
+def test_repeated_lines_are_rows_of_their_own(spark, tmp_path):
+    """As many audited rows as lines, equal verdicts for equal lines, no confidence beyond 1."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    near = "so then alpha beta gamma delta epsilon zeta eta theta iota and nothing else at all here"
+    path = tmp_path / "in" / "rows.jsonl"
+    path.parent.mkdir()
+    path.write_text("\n".join([chat("a question of some words", near)] * 3 + [chat("another question", f"well {item} indeed")] * 2 + [chat("one more", "a short answer that is clean")]) + "\n")
+    bench = spark.createDataFrame([("b", 0, item)], "benchmark string, item_index long, text string")
+    engine = Engine(spark)
+    rows = engine.read(str(path))
+    audited = engine.audit(rows, bench)
+    got = audited.select("user", "verdict", "confidence", "content_id", "id").collect()
+    assert len(got) == 6 and len({r["id"] for r in got}) == 6 and len({r["content_id"] for r in got}) == 3
+    assert {(r["user"], r["verdict"]) for r in got} == {("a question of some words", "clean"), ("another question", "block"), ("one more", "clean")}
+    assert all(r["confidence"] <= 1 for r in got)
+    report = engine.report(audited).first()
+    assert report["total"] == 6
+    engine.config = Config()
+    with pytest.raises(ValueError, match="id repeats"):
+        engine.audit(rows.withColumn("id", rows["content_id"]), bench)
+
+
+def test_stream_scores_repeated_lines_once_each(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join([chat("same", "the same answer")] * 3) + "\n")
+    run = lambda: score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), effects.constant_judge()).awaitTermination(60)
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join([chat("same", "the same answer")] * 2) + "\n")
+    run()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 5 and rows.select("id").distinct().count() == 5
