@@ -113,17 +113,20 @@ class Pieces(dict):
         """The ids of a whole text, joined by commas."""
         return self.joined(MARK + text.replace(" ", MARK)) if text else ""
 
+    def agrees(self, segments: list[str]) -> bool:
+        """Whether the library gives the ids that are held for these segments."""
+        text = "".join(["a", *("\n" + s for s in segments)])
+        return self.library.encode(text.replace(MARK, " ")) == numbers(",".join([self.joined(MARK + "a"), *(f"{self[chr(10)]},{self[s]}" for s in segments)]))
+
     def check(self) -> None:
         """Compares the segments that are new since the last call with the library.
 
-        They are joined to one text, a line break before those that don't begin a
-        word, which the library cuts in the same places.
+        They are joined to one text behind a known word, each after a line break, so
+        that the library cuts it in the same places and drops none.
         """
-        if self.new:
-            text = "".join(s if s[0] == MARK else "\n" + s for s in self.new)
-            text = text if text[0] == MARK else MARK + text
-            if self.library.encode(text[1:].replace(MARK, " ")) != numbers(self.joined(text)):
-                raise ValueError("ids differ from the sentencepiece library's")
+        if self.new and not self.agrees(self.new):
+            wrong = [s for s in self.new if not self.agrees([s])]
+            raise ValueError(f"ids differ from the sentencepiece library's: {wrong or self.new}")
         self.new.clear()
         if len(self) > self.limit:  # what isn't used again while as many come is forgotten
             self.older = dict(self)
