@@ -124,9 +124,10 @@ class Pieces(dict):
         They are joined to one text behind a known word, each after a line break, so
         that the library cuts it in the same places and drops none.
         """
-        if self.new and not self.agrees(self.new):
-            wrong = [s for s in self.new if not self.agrees([s])]
-            raise ValueError(f"ids differ from the sentencepiece library's: {wrong or self.new}")
+        new = self.new.copy()  # the comparison itself may meet more
+        if new and not self.agrees(new):
+            wrong = [s for s in new if not self.agrees([s])]
+            raise ValueError(f"ids differ from the sentencepiece library's: {wrong or new}")
         self.new.clear()
         if len(self) > self.limit:  # what isn't used again while as many come is forgotten
             self.older = dict(self)
