@@ -8,10 +8,12 @@ What may be equal has to meet in a shard, so windows are dealt by their contents
 window's key is the least hash of its grams of GRAM bytes. Equal windows have equal
 keys. Neighbouring windows mostly share their key too, and are passed on together, as
 one passage. Keys that are the least at one place of the corpus only can't be repeated;
-what remains is told by a bitmap. All passages of a key are in one shard, unless the
-key is so frequent (a passage that a third of all documents have) that a shard can't
-hold them: those are dealt to all shards, each of which sorts its own, and the shards'
-different windows, as sorted runs of digests, are merged by binary search.
+what remains is told by a bitmap. All passages of a key are in one shard. Where a key
+is too frequent for that, as words are that a third of all documents have, its windows
+get a second key, the least of another hash, which tells apart what stands around the
+words. What is too frequent still is much the same text. It is dealt to all shards, each
+of which sorts its own, and the shards' different windows, as sorted runs of digests, are
+merged by binary search.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ LENGTH = 200
 GRAM = 64
 PIECE = 1 << 20  # bytes of text whose keys are worked out at once
 PASSAGE = 4096  # windows of a passage at most
-FREQUENT = 2048  # places of a key beyond which its passages are dealt to all shards
+FREQUENT = 2048  # places or passages of a key beyond which a shard can't hold them
 SHARD = 2 << 20  # bytes of a shard, or as many as the passages of one key have
 RUN = 250_000  # windows of a range that is merged, about
 BROADCAST_BYTES = 32 << 20  # of all texts' spans
@@ -140,6 +142,45 @@ def key_counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     return docs.select(text_of(docs).alias("text")).mapInArrow(of_batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def keyed_runs(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int, often: Filter | None) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows with one key: where they begin and end in the list of
+    windows, key, the key before frequent ones got a second, whether it did; and the
+    windows' starts."""
+    hashes, at, keys = window_keys(data, first, last, length, gram)
+    whole, again = keys, np.zeros(len(keys), bool)
+    if often is not None and (again := often.has(keys)).any():
+        second = sliding(mixed(hashes + MIX), length - gram + 1)[at]
+        whole = np.where(again, mixed(keys ^ (second >> np.uint64(1))) | np.uint64(1), keys)
+    begins = np.flatnonzero(np.concatenate(([True], (whole[1:] != whole[:-1]) | (at[1:] != at[:-1] + 1))))
+    return begins, np.append(begins[1:], len(at)), whole[begins], keys[begins], again[begins], at
+
+
+def second_counts(docs: DataFrame, often: Filter, length: int = LENGTH, gram: int = GRAM, most: int = PASSAGE) -> DataFrame:
+    """(key, n, windows): of the keys that take the place of frequent ones, how many
+    passages and windows have them."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            data, lengths = batch_bytes(batch)
+            keys, windows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for a, b, first, last in pieces(lengths, length):
+                begins, stops, own, _, again, _ = keyed_runs(data[a:b], first, last, length, gram, shared.value)
+                keys.append(own[again])
+                windows.append((stops - begins)[again])
+            found, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sizes = np.concatenate(windows)
+            n, total = np.zeros((2, len(found)), np.int64)
+            np.add.at(n, at, -(-sizes // most))
+            np.add.at(total, at, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(total)], names=["key", "n", "windows"])
+
+    texts = docs.select(text_of(docs).alias("text")).mapInArrow(of_batches, "key long, n long, windows long")
+    return texts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
+
+
 class Filter:
     """A bitmap of keys, of bounded size: keys that it hasn't aren't repeated (or frequent)."""
 
@@ -158,15 +199,16 @@ class Filter:
         return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def passages(docs: DataFrame, repeated: Filter, frequent: Filter, length: int = LENGTH, gram: int = GRAM, most: int = PASSAGE) -> DataFrame:
+def passages(docs: DataFrame, repeated: Filter, often: Filter | None, frequent: Filter | None, length: int = LENGTH, gram: int = GRAM, most: int = PASSAGE) -> DataFrame:
     """(t1, t2, at, key, frequent, passage): neighbouring windows with one key that may be
     repeated, as the bytes from the first one's start, ``at``, to the last one's end.
-    Each window is in one passage."""
+    Each window is in one passage. Keys of ``often`` are replaced by second ones, of
+    which those of ``frequent`` are still too frequent for one shard."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((repeated, frequent))
+    shared = spark.sparkContext.broadcast((repeated, often, frequent))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, often = shared.value
+        some, often, too_often = shared.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -175,20 +217,18 @@ def passages(docs: DataFrame, repeated: Filter, frequent: Filter, length: int =
             t1, t2 = (batch[c].to_numpy() for c in ("t1", "t2"))
             for a, b, first, last in pieces(lengths, length):
                 piece = data[a:b]
-                _, at, keys = window_keys(piece, first, last, length, gram)
-                begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1))))
-                own = keys[begins]
-                stops = np.append(begins[1:], len(at))
-                kept = some.has(own)
-                own, begins, stops = own[kept], begins[kept], stops[kept]
+                begins, stops, own, before, again, at = keyed_runs(piece, first, last, length, gram, often)
+                kept = some.has(before)
+                begins, stops, own, again = begins[kept], stops[kept], own[kept], again[kept]
+                hot = again & too_often.has(own) if too_often is not None else np.zeros(len(own), bool)
                 cuts = -(-(stops - begins) // most)
                 part = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-                own, begins, stops = np.repeat(own, cuts), np.repeat(begins, cuts) + part * most, np.repeat(stops, cuts)
+                own, hot, begins, stops = np.repeat(own, cuts), np.repeat(hot, cuts), np.repeat(begins, cuts) + part * most, np.repeat(stops, cuts)
                 start, end = at[begins], at[np.minimum(begins + most, stops) - 1] + length
                 text = np.searchsorted(text_starts, start + a, "right") - 1
                 raw = piece.tobytes()
                 found = pa.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist())], pa.binary())
-                columns = [t1[text], t2[text], start + a - text_starts[text], own.view(np.int64), often.has(own)]
+                columns = [t1[text], t2[text], start + a - text_starts[text], own.view(np.int64), hot]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), found], names=["t1", "t2", "at", "key", "frequent", "passage"])
 
     return bodies(docs).select("text", "t1", "t2").mapInArrow(of_batches, "t1 long, t2 long, at long, key long, frequent boolean, passage binary")
@@ -409,13 +449,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ofte
     """t1, t2 (of :func:`bodies`) and spans, array<struct<start, stop>>, of each text that
     has windows that start anywhere else too: what they cover, in bytes, in order."""
     counts = checkpointed(key_counts(docs, length, gram).where("n > 1"))
-    n = counts.agg(F.count(F.lit(1)).alias("repeated"), F.count_if(F.col("n") > often).alias("frequent"), F.sum(F.when(F.col("n") > often, F.col("n"))).alias("places")).first()
-    found = passages(docs, Filter(counts.select("key"), n["repeated"]), Filter(counts.where(F.col("n") > often).select("key"), n["frequent"]), length, gram)
-    # a place is the least of as many windows as hold it, at most
-    ranges = 1 + (n["places"] or 0) * (length - gram + 1) // run
-    rows = checkpointed(sharded(found, length, ranges, shard))
+    repeated, frequent = counts.select("key"), counts.where(F.col("n") > often).select("key")
+    some, again, still, ranges = Filter(repeated, repeated.count()), None, None, 1
+    if n := frequent.count():
+        again = Filter(frequent, n)
+        second = checkpointed(second_counts(docs, again, length, gram).where(F.col("n") > often))
+        total = second.agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("windows")).first()
+        if total["n"]:
+            still, ranges = Filter(second.select("key"), total["n"]), 1 + total["windows"] // run
+    rows = checkpointed(sharded(passages(docs, some, again, still, length, gram), length, ranges, shard))
     spans = rows.where(F.col("range").isNull()).select("t1", "t2", "start", "stop")
-    if n["frequent"]:
+    if still is not None:
         spans = spans.union(merged(rows.where(F.col("range").isNotNull()).select("range", "digests", "places"), length))
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
