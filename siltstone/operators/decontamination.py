@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import bound, grams, normalize_decon, words
+from siltstone.operators.keyfilter import known
 from siltstone.plans.sizes import BROADCAST_ROWS, bounded, stored
 
 THRESHOLD = 0.85
@@ -66,12 +67,25 @@ def indexed(items: DataFrame, rules=RULES, n: int = GRAM) -> DataFrame:
     return flat.join(sizes, ["benchmark", "item_index", "rule"])
 
 
-def lookups(examples: DataFrame, items: DataFrame, rules=RULES, n: int = GRAM) -> DataFrame:
+def looked_up(examples: DataFrame, index: DataFrame, rules=RULES, n: int = GRAM, most_rows: int | None = None) -> DataFrame:
+    """(id, rule, key) of the examples that the index may have: all of them if the index is
+    small enough to be broadcast, else those that a filter of its keys lets through,
+    so that what is shuffled is about the hits."""
+    own = examples.select("id", F.explode(_keys(normalize_decon(F.col("text")), rules, n)).alias("x")).select("id", "x.rule", "x.key")
+    size = index.count()
+    if size <= (BROADCAST_ROWS if most_rows is None else most_rows):
+        return own
+    keys = index.select(F.xxhash64("rule", "key").alias("h")).distinct()
+    return known(own.withColumn("h", F.xxhash64("rule", "key")), "h", keys, size).drop("h")
+
+
+def lookups(examples: DataFrame, items: DataFrame, rules=RULES, n: int = GRAM, most_rows: int | None = None) -> DataFrame:
     """id, rule, benchmark, item_index, overlap, keys: the items with which an example
-    (id, text) shares keys, stored. One pass over the texts, whatever the rules."""
+    (id, text) shares keys, stored. One pass over the texts, whatever the rules. An
+    index of more than ``most_rows`` rows isn't broadcast."""
     index = stored(indexed(items, rules, n))
-    own = examples.select("id", F.explode(_keys(normalize_decon(F.col("text")), rules, n)).alias("x")).select("id", "x.rule", "x.key")
-    met = own.join(bounded(index), ["rule", "key"])
+    most = BROADCAST_ROWS if most_rows is None else most_rows
+    met = looked_up(examples, index, rules, n, most).join(bounded(index, most), ["rule", "key"])
     return stored(met.groupBy("id", "rule", "benchmark", "item_index").agg(F.count(F.lit(1)).alias("overlap"), F.first("keys").alias("keys")))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,59 @@ def mean_gram_distance(rows: DataFrame, n: int = 3) -> DataFrame:
     return counts.join(likeness).select(F.when(pairs > 0, (pairs - F.col("likeness")) / F.greatest(pairs, F.lit(1.0))).otherwise(F.lit(1.0)).alias("diversity"))
 
 
+FUNCTIONS = 64
+PRIME = (1 << 31) - 1
+
+
+def coefficients(functions: int = FUNCTIONS) -> list[tuple[int, int]]:
+    """Multiplier and addend of each hash function x -> (a x + b) mod PRIME, by a rule that
+    other engines can follow: powers of a primitive root."""
+    return [(pow(7, 2 * i + 1, PRIME), pow(7, 2 * i + 2, PRIME)) for i in range(functions)]
+
+
+def min_hashes(rows: DataFrame, n: int = 3, functions: int = FUNCTIONS) -> DataFrame:
+    """id and least (the least value of each hash function over the text's grams) of (id,
+    assistant); rows without grams have null. A gram's number is the first seven
+    hexadecimal digits of its MD5."""
+    a, b = (np.array(x, np.int64) for x in zip(*coefficients(functions)))
+    kind = dict(rows.dtypes)["id"]
+    grams = rows.select("id", F.transform(grams_diversity(F.col("assistant"), n), lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long")).alias("x"))
+
+    def least(x: np.ndarray) -> list[int]:
+        out = np.full(functions, PRIME, np.int64)
+        for at in range(0, len(x), 4096):  # of a long text, a part at a time
+            np.minimum(out, ((a[:, None] * x[None, at : at + 4096] + b[:, None]) % PRIME).min(axis=1), out=out)
+        return out.tolist()
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [least(x.values.to_numpy()) if len(x) else None for x in batch["x"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.list_(pa.int64()))], names=["id", "least"])
+
+    return grams.mapInArrow(of_batches, f"id {kind}, least array<long>")
+
+
+def estimated_gram_distance(rows: DataFrame, n: int = 3, functions: int = FUNCTIONS) -> DataFrame:
+    """One row, ``diversity`` and ``standard_error``: the mean Jaccard distance of all pairs
+    of a whole table, estimated in time linear in its rows.
+
+    Two texts have the same least value of a hash function with a probability that is
+    their likeness. So the pairs with equal values, counted by value, are for each
+    function an estimate of the sum over all pairs; the result is their mean, and the
+    error that of the mean. Pairs of two texts without grams are left out, as in
+    :func:`mean_gram_distance`, which is exact and for samples.
+    """
+    hashed = min_hashes(rows, n, functions)
+    counts = hashed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("least").isNull()).alias("e"))
+    # a value that very many texts have is counted in tasks first
+    same = hashed.select(F.posexplode("least").alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+    each = same.groupBy("i").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("likeness"))
+    one = counts.join(each.agg(F.coalesce(F.avg("likeness"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp("likeness"), F.lit(0.0)).alias("spread")))
+    pairs = (F.col("n") * (F.col("n") - 1) - F.col("e") * (F.col("e") - 1)) / 2
+    share = lambda x: x / F.greatest(pairs, F.lit(1.0))
+    return one.select(F.when(pairs > 0, 1 - share(F.col("mean"))).otherwise(F.lit(1.0)).alias("diversity"), share(F.col("spread") / functions**0.5).alias("standard_error"))
+
+
 def lexical_diversity(rows: DataFrame) -> DataFrame:
     """distinct, total: lower-cased words of all answers, and their ratio (0 if none)."""
     counts = rows.select(F.explode(words(F.lower(F.col("assistant")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))

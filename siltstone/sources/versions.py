@@ -89,14 +89,15 @@ class Versions:
 
     def _forget(self) -> None:
         """Deletes folders that only versions before the last KEPT name."""
-        numbers = self._numbers()
-        commits = {n: self._commit(n) or {"folders": []} for n in numbers}
-        needed = {f for n in numbers[-KEPT:] for f in commits[n]["folders"]}
-        for n in numbers[:-KEPT]:
-            for folder in commits[n]["folders"]:
-                if folder not in needed:
-                    self.files.delete(self._at(folder), True)
-            self.files.delete(self._at("commits", f"{n:012d}"), False)
+        commits = {n: self._commit(n) for n in self._numbers()}
+        whole = [n for n, found in commits.items() if found is not None][-KEPT:]
+        needed = {f for n in whole for f in commits[n]["folders"]}
+        for n, found in commits.items():
+            if n < whole[0]:
+                for folder in (found or {"folders": []})["folders"]:
+                    if folder not in needed:
+                        self.files.delete(self._at(folder), True)
+                self.files.delete(self._at("commits", f"{n:012d}"), False)
 
     def replace(self, rows: DataFrame, meta: dict | None = None, partition_by: list[str] = ()) -> None:
         """``rows`` as the next version."""
