@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
@@ -42,11 +42,16 @@ class Engine:
         examples = stored(with_unique(examples, "id"))
         if bench is None:
             bench, _ = benchmarks.corpus(self.spark, None, self.config.decontamination.benchmarks)
+        return self.verdicts(judged(examples, self.judge), bench, F.concat_ws(" ", "user", "assistant"), vectors).persist()
+
+    def verdicts(self, judged_: DataFrame, bench: DataFrame, text: Column, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """Examples with what a judge said (overall, judge_issues), scored, with the verdict
+        on ``text``."""
         c = self.config.decontamination
-        rows = stored(quality.scored(judged(examples, self.judge)))
-        texts = rows.select("id", F.concat_ws(" ", "user", "assistant").alias("text"))
+        rows = stored(quality.scored(judged_))
+        texts = rows.select("id", text.alias("text"))
         found = decon.evidence(texts, bench, c.method, c.gram, c.threshold, vectors, c.top_k)
-        return rows.join(decon.verdicts(rows, found, c.hard_fail, c.review, c.review_threshold), "id").persist()
+        return rows.join(decon.verdicts(rows, found, c.hard_fail, c.review, c.review_threshold), "id")
 
     def report(self, audited: DataFrame) -> DataFrame:
         """One row of headline metrics."""
