@@ -41,6 +41,7 @@ class Generation:
     distance_weight: float = 0.6
     max_rounds: int = 3
     max_retries: int = 3
+    max_empty_waves: int = 2
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,36 @@ class Export:
     include_seeds: bool = True
 
 
+# Where each provider's service is, and the model that is asked there unless another is named.
+PROVIDERS = {
+    "ollama": ("http://localhost:11434/v1", "llama3.1:8b"),
+    "openai": ("https://api.openai.com/v1", "gpt-4o-mini"),
+    "anthropic": ("https://api.anthropic.com/v1", "claude-sonnet-4-20250514"),
+    "vllm": ("http://localhost:8000/v1", "meta-llama/Llama-3.1-8B-Instruct"),
+    "custom": ("http://localhost:8000/v1", "default"),
+}
+
+
+@dataclass(frozen=True)
+class Model:
+    """The service that a judge or generator of the user's own may ask; nothing here calls it."""
+
+    provider: str = "ollama"
+    api_base: str = PROVIDERS["ollama"][0]
+    model: str = PROVIDERS["ollama"][1]
+    temperature: float = 0.8
+    concurrent_requests: int = 4
+
+    @classmethod
+    def of(cls, provider: str, **settings) -> Model:
+        """A provider's preset; of an unknown one the first's."""
+        base, model = PROVIDERS.get(provider, PROVIDERS["ollama"])
+        return cls(**{"provider": provider if provider in PROVIDERS else "ollama", "api_base": base, "model": model, **settings})
+
+
 @dataclass(frozen=True)
 class Config:
+    model: Model = field(default_factory=Model)
     decontamination: Decontamination = field(default_factory=Decontamination)
     quality: Quality = field(default_factory=Quality)
     generation: Generation = field(default_factory=Generation)
@@ -72,6 +101,8 @@ class Config:
 
         given = (yaml.safe_load(Path(path).read_text()) or {}) if Path(path).exists() else {}
         parts = {}
+        llm = {k: v for k, v in (given.get("model") or {}).items() if k in Model.__dataclass_fields__}
+        parts["model"] = Model.of(llm.pop("provider", "ollama"), **llm)
         for name, kind in (("decontamination", Decontamination), ("quality", Quality), ("generation", Generation), ("export", Export)):
             known = {k: tuple(v) if isinstance(v, list) else v for k, v in (given.get(name) or {}).items() if k in kind.__dataclass_fields__}
             parts[name] = kind(**known)

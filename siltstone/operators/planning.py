@@ -115,9 +115,9 @@ def neighbor_edges(vectors: DataFrame, k: int = NEIGHBORS) -> DataFrame:
 
 
 def upper_median(column: str):
-    """The middle value, the upper one of two; ``column`` is a small table's."""
-    ordered = F.array_sort(F.collect_list(column))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+    """The middle value, the upper one of two: an aggregate of how often each value occurs,
+    so that tasks combine theirs."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def prioritized(clusters: DataFrame, edges: DataFrame, accepted: DataFrame, focus: list[str] = (), max_active: int = MAX_ACTIVE, saturation: float = 1.05, long_tail: float = 0.35, weight: float = 0.6, top_k: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from siltstone.functions.classify import evaluator_style
 from siltstone.functions.text import grams_overlap, pair_key
 from siltstone.operators.distribution import counts_by, total_variation
 from siltstone.operators.quality import topic_counts, with_difficulty
+from siltstone.plans.sizes import stored
 
 NEAR = 0.75
 SEMANTIC = 0.88
@@ -23,15 +24,20 @@ def exact_overlap(generated: DataFrame, reference: DataFrame) -> DataFrame:
     return pair_keys(generated).join(pair_keys(reference).select("k").distinct(), "k", "left_semi").select("id")
 
 
-def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float = NEAR) -> DataFrame:
+LEVELS = (0.95, 0.85)  # likenesses that are looked for before the threshold
+
+
+def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float = NEAR, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """id, likeness: the best Jaccard of answers' grams with any reference answer, at
     least ``threshold``.
 
     Answers are compared once for each distinct gram set, so groups of copies don't
-    multiply. Two sets that are alike enough share one of their rarest grams: of n
-    grams the n - ceil(threshold x n) + 1 that the fewest answers have. Only sets that
-    share one of those are compared, so passages that very many answers have in
-    common bring no candidates as long as answers also have words of their own.
+    multiply, and sets that both sides have are done. Two sets that are alike enough share
+    one of their rarest grams: of n grams the n - ceil(threshold x n) + 1 that the fewest
+    answers have. Only sets that share one of those are compared, so passages that very
+    many answers have in common bring no candidates as long as answers also have words
+    of their own. High likenesses need fewer grams and are looked for first: who has found
+    one has found the best, and isn't compared with all that are less alike.
     """
     def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed = rows.select("id", F.array_sort(grams_overlap(F.col("assistant"))).alias("g"))
@@ -40,19 +46,35 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
 
     member, gen = classes(generated)
     _, ref = classes(reference)
+    gen, ref = stored(gen.where(F.size("g") > 0)), stored(ref.where(F.size("g") > 0))
     grams = gen.select(F.explode("g").alias("gram")).union(ref.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
 
-    def rarest(side: DataFrame, k: str, n: str) -> DataFrame:
-        flat = side.select(F.col("k").alias(k), F.size("g").alias(n), F.explode("g").alias("gram")).join(grams, "gram")
-        ordered = flat.groupBy(k, n).agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o"))
-        return ordered.select(k, n, F.explode(F.slice("o", F.lit(1), F.col(n) - F.ceil(F.col(n) * threshold).cast("int") + 1)["gram"]).alias("gram"))
-
-    shared = rarest(gen, "k", "n1").join(rarest(ref, "k2", "n2"), "gram")
-    pairs = shared.where(F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")).select("k", "k2").distinct()
-    both = pairs.join(gen, "k").join(ref.select(F.col("k").alias("k2"), F.col("g").alias("g2")), "k2")
-    likeness = both.withColumn("both", F.size(F.array_intersect("g", "g2"))).select("k", (F.col("both") / (F.size("g") + F.size("g2") - F.col("both"))).alias("likeness"))
-    best = likeness.where(F.col("likeness") >= threshold).groupBy("k").agg(F.max("likeness").alias("likeness"))
-    return member.join(best, "k").select("id", "likeness")
+    def by_rarity(side: DataFrame) -> DataFrame:
+        """(k, g) with the grams as 64-bit numbers, the rarest first."""
+        flat = side.select("k", F.explode("g").alias("gram")).join(grams, "gram")
+        return stored(flat.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("gram").alias("h")))).alias("o")).select("k", F.col("o.h").alias("g")))
+
+    same = gen.select("k").join(ref.select("k"), "k", "left_semi").withColumn("likeness", F.lit(1.0))
+    found = stored(same)
+    left, theirs = by_rarity(gen.join(found, "k", "left_anti")), by_rarity(ref)
+
+    def rarest(side: DataFrame, k: str, n: str, level: float) -> DataFrame:
+        size = F.size("g")
+        return side.select(F.col("k").alias(k), size.alias(n), F.posexplode(F.slice("g", F.lit(1), size - F.ceil(size * level).cast("int") + 1)).alias(f"{k} at", "gram"))
+
+    for level in (*[x for x in levels if x > threshold], threshold):
+        shared = rarest(left, "k", "n1", level).join(rarest(theirs, "k2", "n2", level), "gram")
+        # what is left behind the places of the shared gram bounds the overlap
+        rest = F.least(F.col("n1") - F.col("k at"), F.col("n2") - F.col("k2 at"))
+        before = F.least("k at", "k2 at")
+        fits = (F.least("n1", "n2") >= level * F.greatest("n1", "n2")) & (rest + before >= level / (1 + level) * (F.col("n1") + F.col("n2")) - 1e-6)
+        pairs = shared.where(fits).select("k", "k2").distinct()
+        both = pairs.join(left, "k").join(theirs.select(F.col("k").alias("k2"), F.col("g").alias("g2")), "k2")
+        likeness = both.withColumn("both", F.size(F.array_intersect("g", "g2"))).select("k", (F.col("both") / (F.size("g") + F.size("g2") - F.col("both"))).alias("likeness"))
+        best = stored(likeness.where(F.col("likeness") >= level).groupBy("k").agg(F.max("likeness").alias("likeness")))
+        found = found.union(best)
+        left = stored(left.join(best, "k", "left_anti"))
+    return member.join(found, "k").select("id", "likeness")
 
 
 def semantic_overlap(generated: DataFrame | None, reference: DataFrame | None, threshold: float = SEMANTIC, others: bool = False, spark=None) -> DataFrame:

@@ -13,6 +13,7 @@ from siltstone.functions import classify, rewrite, text
 from siltstone.operators import artifacts, distribution, diversity, evaluation, planning, quality, ranking, reference, selection
 from siltstone.operators import decontamination as decon
 from siltstone.operators.views import benchmark_items, conversation_examples, document_examples, table
+from siltstone.plans.sizes import stored
 from siltstone.sources import writers
 
 MIN_SCORE = 7.5
@@ -22,6 +23,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return document_examples(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def topical(rows: DataFrame) -> DataFrame:
+    """Rows without a topic are of the topic "general"."""
+    return rows.withColumn("topic", F.coalesce("topic", F.lit("general")))
+
+
 def scored_docs(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(docs(spark, d))
 
@@ -439,23 +445,24 @@ def language_tvd(spark, d):
     return distribution.total_variation(side(F.col("topic") == "src0"), side(F.col("topic") != "src0")).select(_r("tvd"))
 
 
-@query(f"""WITH {EX_DOC}, c AS (SELECT id, topic, {COMPLEXITY} AS complexity, {STYLE_A} AS style FROM ex_doc)
+@query(f"""WITH {EX_DOC}, c AS (SELECT id, topic, {COMPLEXITY} AS complexity, {STYLE_A} AS style FROM (SELECT * REPLACE (coalesce(topic, 'general') AS topic) FROM ex_doc))
 SELECT trim(regexp_replace(lower(topic), '[^a-z0-9]+', '_', 'g'), '_') || '__c0__' || complexity || '__' || style AS cluster_id, count(*) AS seed_count FROM c GROUP BY 1""")
 def cluster_distribution(spark, d):
-    rows = document_examples(table(spark, d, "documents")).where(F.col("topic").isNotNull())
+    rows = topical(document_examples(table(spark, d, "documents")))
     return planning.seed_profile(planning.with_cluster(rows)).select("cluster_id", "seed_count")
 
 
 def sides(spark, d):
-    """English documents against the others."""
+    """English documents against the others, those of no known language among them."""
     rows = scored_docs(spark, d)
-    return rows.where(F.col("lang") == "en"), rows.where(F.col("lang") != "en")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return rows.where(english), rows.where(~english)
 
 
 @query(f"""WITH {EX_DOC}, k AS (SELECT id, topic, {pairnorm('"user"')} AS u, {pairnorm('assistant')} AS a FROM ex_doc)
-SELECT id FROM k SEMI JOIN (SELECT u, a FROM k WHERE topic = 'src1') r USING (u, a) WHERE topic <> 'src1'""")
+SELECT id FROM k SEMI JOIN (SELECT u, a FROM k WHERE topic = 'src1') r USING (u, a) WHERE topic IS DISTINCT FROM 'src1'""")
 def reference_overlap_exact(spark, d):
-    rows = document_examples(table(spark, d, "documents"))
+    rows = topical(document_examples(table(spark, d, "documents")))
     return reference.exact_overlap(rows.where(F.col("topic") != "src1"), rows.where(F.col("topic") == "src1"))
 
 
@@ -464,18 +471,18 @@ g AS (SELECT id, topic, array_to_string(w, ' ') AS gram FROM k WHERE len(w) BETW
       UNION ALL {gram_rows('k', 'id, topic', 'w', 3)}),
 f AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM g),
 p AS (SELECT a.id, a.n, b.id AS id2, b.n AS m, count(*) AS i FROM f a JOIN f b USING (gram)
-      WHERE a.topic <> 'src1' AND b.topic = 'src1' AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY ALL),
+      WHERE a.topic IS DISTINCT FROM 'src1' AND b.topic = 'src1' AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY ALL),
 best AS (SELECT id, max(i / (n + m - i)) AS likeness FROM p GROUP BY id)
 SELECT id, round(likeness, 6) AS likeness FROM best WHERE likeness >= 0.75""")
 def reference_overlap_near(spark, d):
-    rows = document_examples(table(spark, d, "documents"))
+    rows = topical(document_examples(table(spark, d, "documents")))
     return reference.near_overlap(rows.where(F.col("topic") != "src1"), rows.where(F.col("topic") == "src1")).select("id", _r("likeness"))
 
 
 _DIST = "(SELECT coalesce(sum(abs(coalesce(a.n / ta, 0) - coalesce(b.n / tb, 0))) / 2, 0) FROM (SELECT {0} AS key, count(*) AS n FROM gen GROUP BY 1) a FULL JOIN (SELECT {0} AS key, count(*) AS n FROM ref GROUP BY 1) b USING (key), t)"
 
 
-@query(f"""WITH {SCORED}, gen AS (SELECT * FROM scored WHERE lang = 'en'), ref AS (SELECT * FROM scored WHERE lang <> 'en'),
+@query(f"""WITH {SCORED}, gen AS (SELECT * FROM scored WHERE lang = 'en'), ref AS (SELECT * FROM scored WHERE lang IS DISTINCT FROM 'en'),
 t AS (SELECT (SELECT count(*) FROM gen) AS ta, (SELECT count(*) FROM ref) AS tb),
 gt AS (SELECT coalesce(topic, 'unknown') AS topic FROM gen GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 20),
 rt AS (SELECT coalesce(topic, 'unknown') AS topic FROM ref GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 20),
@@ -557,7 +564,7 @@ CLUSTERS = f"""{EX_DOC},
 k AS (
   SELECT id, overall, topic, "user", assistant, {COMPLEXITY} AS complexity, {STYLE_A} AS style,
          trim(regexp_replace(lower(topic), '[^a-z0-9]+', '_', 'g'), '_') || '__c0__' || {COMPLEXITY} || '__' || {STYLE_A} AS cluster_id
-  FROM ex_doc WHERE topic IS NOT NULL),
+  FROM (SELECT * REPLACE (coalesce(topic, 'general') AS topic) FROM ex_doc)),
 prof AS (SELECT cluster_id, min(topic) AS topic, min(complexity) AS difficulty, min(style) AS style, count(*) AS seed_count FROM k GROUP BY 1),
 wished AS (
   SELECT *, (SELECT 2 * count(*) FROM k) AS b, count(*) OVER () AS clusters, row_number() OVER (ORDER BY seed_count DESC, cluster_id) AS place,
@@ -613,23 +620,23 @@ parts AS (
 
 
 def seed_rows(spark, d):
-    return planning.with_cluster(document_examples(table(spark, d, "documents")).where(F.col("topic").isNotNull()))
+    return planning.with_cluster(topical(document_examples(table(spark, d, "documents"))))
 
 
 def _clusters(spark, d):
     """The plan asks for twice as many examples as there are seeds. A small table, read several times."""
     rows = seed_rows(spark, d)
-    return planning.with_targets(planning.seed_profile(rows), 2 * rows.count()).cache()
+    return stored(planning.with_targets(planning.seed_profile(rows), 2 * rows.count()))
 
 
 def _edges(spark, d, clusters):
-    return planning.neighbor_edges(planning.cluster_vectors(clusters, seed_rows(spark, d))).cache()
+    return stored(planning.neighbor_edges(planning.cluster_vectors(clusters, seed_rows(spark, d))))
 
 
 def _accepted(spark, d):
     """Rows of labelled quality stand for accepted ones."""
-    rows = planning.with_cluster(docs(spark, d).where((F.col("overall") == 9.0) & F.col("topic").isNotNull()))
-    return distribution.counts_by(rows, F.col("cluster_id")).cache()
+    rows = planning.with_cluster(topical(docs(spark, d).where(F.col("overall") == 9.0)))
+    return stored(distribution.counts_by(rows, F.col("cluster_id")))
 
 
 def _priorities(spark, d):

@@ -52,6 +52,28 @@ def applied(rows: DataFrame, work: Batch, schema: str, retries: int = 3, wait: f
     return rows.mapInPandas(tried, schema)
 
 
+def in_waves(slots: Callable[[int, int], DataFrame], work: Batch, schema: str, target: int, folder: str, good: str, most_empty: int = 2, **options) -> DataFrame:
+    """What ``work`` makes of slots, wave by wave, until ``target`` good rows are there.
+
+    ``slots(at, n)`` are the n slots after the first ``at`` of a plan that begins anew where it
+    ends. A wave asks for what is missing; what it gives is written under ``folder``
+    before it is counted, so that each slot is asked for once, and failed rows can be
+    read. After ``most_empty`` waves in a row without a good row (``good`` is a condition) it
+    gives up: a model that fails for good can't keep a job running.
+    """
+    have = at = empty = wave = 0
+    paths = []
+    spark = None
+    while have < target and empty < most_empty:
+        asked = slots(at, target - have)
+        spark = asked.sparkSession
+        paths.append(f"{folder}/wave-{wave}")
+        applied(asked, work, schema, **options).write.mode("overwrite").parquet(paths[-1])
+        n = spark.read.parquet(paths[-1]).where(good).count()
+        at, have, wave, empty = at + target - have, have + n, wave + 1, 0 if n else empty + 1
+    return spark.read.parquet(*paths) if paths else applied(slots(0, 0), work, schema)
+
+
 def constant_judge(score: float = 8.0) -> Batch:
     """A judge for tests: the same score for every row, no issues."""
 

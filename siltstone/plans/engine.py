@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.config import Config
 from siltstone.operators import decontamination as decon
 from siltstone.operators import distribution, diversity, planning, quality, selection
-from siltstone.plans.effects import Batch, applied, constant_judge, judged
+from siltstone.plans.effects import Batch, constant_judge, in_waves, judged
 from siltstone.plans.sizes import stored, with_unique
 from siltstone.sources import benchmarks, jsonl, writers
 
@@ -90,6 +90,8 @@ class Engine:
     def expand(self, seeds: DataFrame, folder: str) -> DataFrame:
         """Rounds of planning, generation, dedup, scoring and selection, up to the target.
 
+        Within a round slots are asked for in waves, until as many replies are good as
+        were wanted or ``max_empty_waves`` waves brought none.
         After a round the status of the distribution is added to ``self.rounds``, and the
         next round is for the clusters that lag most (``focus_strategy``: strict takes
         focus_top_k of them, soft one more). It ends when the target is reached, nothing
@@ -106,12 +108,13 @@ class Engine:
         for round_ in range(g.max_rounds):
             done = accepted.count() if accepted is not None else 0
             asked = max(g.num_examples - done, g.batch_size)
-            slots = planning.cycled(self.plan(seeds, accepted, focus), asked)
+            plan = stored(self.plan(seeds, accepted, focus))
             path = f"{folder}/round-{round_}"
-            made = applied(slots, made_by(self.generator), MADE, g.max_retries, failed=failed, batch_size=g.batch_size)
+            slots = lambda at, n, plan=plan: planning.cycled(plan, at + n).where(F.col("slot") > at)
+            good = "error IS NULL AND coalesce(user, '') <> '' AND coalesce(assistant, '') <> ''"
+            made = in_waves(slots, made_by(self.generator), MADE, asked, f"{path}-waves", good, g.max_empty_waves, retries=g.max_retries, failed=failed, batch_size=g.batch_size)
             made.withColumn("id", F.concat_ws("-", F.lit(f"r{round_}"), "cluster_id", "slot")).write.mode("overwrite").parquet(path)
-            good = self.spark.read.parquet(path).where(F.col("error").isNull())
-            candidates = selection.new_pairs(good, seeds, *([accepted] if accepted is not None else []))
+            candidates = selection.new_pairs(self.spark.read.parquet(path).where(good), seeds, *([accepted] if accepted is not None else []))
             audited = quality.scored(judged(candidates, self.judge)).withColumn("pipeline_stage", F.lit("audited"))
             audited.write.mode("overwrite").parquet(f"{path}-scored")
             audited = self.spark.read.parquet(f"{path}-scored")

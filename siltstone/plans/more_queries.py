@@ -80,9 +80,9 @@ def non_seed_pool(spark, d):
 
 
 @query(f"""WITH {EX_DOC} SELECT CASE WHEN topic = 'src0' THEN 'seed' ELSE 'generated' END AS source, topic = 'src0' AS seed_example,
-  CASE WHEN topic = 'src0' THEN 'seed_file' ELSE 'synthetic' END AS generation_source, count(*) AS n, min(id) AS first, max(id) AS last FROM ex_doc WHERE topic IS NOT NULL GROUP BY ALL""")
+  CASE WHEN topic = 'src0' THEN 'seed_file' ELSE 'synthetic' END AS generation_source, count(*) AS n, min(id) AS first, max(id) AS last FROM (SELECT * REPLACE (coalesce(topic, 'general') AS topic) FROM ex_doc) GROUP BY ALL""")
 def final_dataset(spark, d):
-    rows = document_examples(table(spark, d, "documents"))
+    rows = catalog.topical(document_examples(table(spark, d, "documents")))
     whole = assembly.final_dataset(rows.where("topic = 'src0'"), rows.where("topic <> 'src0'"))
     return whole.groupBy("source", "seed_example", "generation_source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
@@ -181,9 +181,9 @@ def distribution_validation(spark, d):
     return reference.validation(status, reference.alignment(*catalog.sides(spark, d)), status).select("validated_score", "calibration_error")
 
 
-@query("""SELECT topic, persona, difficulty FROM (SELECT DISTINCT source AS topic FROM documents WHERE source IS NOT NULL), (SELECT unnest(['beginner', 'expert', 'skeptic']) AS persona), (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty)""")
+@query("""SELECT topic, persona, difficulty FROM (SELECT DISTINCT coalesce(source, 'general') AS topic FROM documents), (SELECT unnest(['beginner', 'expert', 'skeptic']) AS persona), (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty)""")
 def fallback_plan(spark, d):
-    topics = table(spark, d, "documents").select(F.col("source").alias("topic")).where("topic IS NOT NULL").distinct()
+    topics = table(spark, d, "documents").select(F.coalesce("source", F.lit("general")).alias("topic")).distinct()
     return planning.fallback_plan(topics).select("topic", "persona", "difficulty")
 
 

@@ -75,6 +75,30 @@ def proof_bundle(found: dict, folder: str, name: str, base_model: str, holdout:
     return out
 
 
+def benchmark_report(ranked: DataFrame) -> dict:
+    """The models of a comparison in order, and the one that is recommended (see
+    :func:`ranking.ranked_models`): a row for each model."""
+    rows = [{k: round(v, 4) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in ranked.orderBy("place").collect()]
+    return {"recommended": rows[0]["model"] if rows else None, "models": {r["model"]: r for r in rows}}
+
+
+def showcase_report(found: dict, seconds: dict[str, float] | None = None) -> dict:
+    """The headline numbers of a run's summary, and how long its stages took."""
+    head = {k: found["summary"][k] for k in ("total", "passed", "average", "hits", "diversity", "lexical_diversity") if k in found["summary"]}
+    return {"metrics": head, "minutes": {k: round(v / 60, 2) for k, v in (seconds or {}).items()}, "top_issues": found.get("top_issues", {})}
+
+
+def training_job(path: str, base_model: str, trainer: str, rows: DataFrame, epochs: int = 3) -> dict:
+    """What a fine-tuning run would be given: a plan only, nothing is started."""
+    return {"base_model": base_model, "trainer": trainer, "train_file": path, "examples": rows.count(), "epochs": epochs, "status": "planned"}
+
+
+def match_report(generated: DataFrame, reference_rows: DataFrame) -> dict:
+    """How a set's topics, styles and levels match a reference's, and the overlap with it."""
+    aligned = reference.alignment(generated, reference_rows).first().asDict()
+    return {k: round(v, 4) if isinstance(v, float) else v for k, v in aligned.items()}
+
+
 def markdown(found: dict, title: str, level: int = 1) -> str:
     lines = [f"{'#' * level} {title}", ""]
     for k, v in found.items():

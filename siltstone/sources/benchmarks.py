@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.versions import Versions
+
 # Characteristic phrases by benchmark, used where no table is given.
 SIGNATURES = {
     "mmlu": [
@@ -94,19 +97,49 @@ def items(records: DataFrame, name: str, order: str, limit: int = 200) -> DataFr
     return texts.select(F.lit(name).alias("benchmark"), (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("item_index"), "text")
 
 
-def corpus(spark: SparkSession, folder: str | None, names=tuple(SIGNATURES), limit: int = 200) -> tuple[DataFrame, dict[str, str]]:
-    """The items of all named benchmarks and where each came from: ``folder``/name.parquet
-    with columns of its records and ``ord``, else the built-in signatures."""
+CACHE_FORMAT = 1
+
+
+def read_records(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The records of ``folder``/name.parquet, or of name.jsonl or name.json with a record a
+    line, with ``ord``, their order."""
+    try:
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    except AnalysisException:
+        try:
+            rows = spark.read.json(f"{folder}/{name}.jsonl")
+        except AnalysisException:
+            rows = spark.read.json(f"{folder}/{name}.json")
+    return rows if "ord" in rows.columns else rows.withColumn("ord", F.monotonically_increasing_id())
+
+
+def cached_items(spark: SparkSession, cache: str, name: str, limit: int) -> DataFrame | None:
+    """The items kept for a benchmark and limit; None if there are none of this format."""
+    table = Versions(spark, f"{cache}/{name}")
+    wanted = {"format": CACHE_FORMAT, "benchmark": name, "limit": limit}
+    return table.read() if table.exists() and table.meta == wanted else None
+
+
+def corpus(spark: SparkSession, folder: str | None, names=tuple(SIGNATURES), limit: int = 200, cache: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The items of all named benchmarks and where each came from: kept items under ``cache``,
+    else records in ``folder`` (see :func:`read_records`), whose items are then kept, else
+    the built-in signatures."""
     out, sources = signatures(spark, ()), {}
     for name in names:
-        try:
-            part = items(spark.read.parquet(f"{folder}/{name}.parquet"), name, "ord", limit) if folder else None
-        except Exception as e:  # a missing or unreadable table falls back, as the sources tell
-            part, sources[name] = None, f"signatures ({type(e).__name__})"
+        part = cached_items(spark, cache, name, limit) if folder and cache else None
+        if part is not None:
+            sources[name] = "cache"
+        elif folder:
+            try:
+                part = items(read_records(spark, folder, name), name, "ord", limit)
+                if cache:
+                    Versions(spark, f"{cache}/{name}").replace(part, {"format": CACHE_FORMAT, "benchmark": name, "limit": limit})
+                    part = cached_items(spark, cache, name, limit)
+                sources[name] = "table"
+            except Exception as e:  # a missing or unreadable table falls back, as the sources tell
+                part, sources[name] = None, f"signatures ({type(e).__name__})"
         if part is None:
             part, sources[name] = signatures(spark, (name,)), sources.get(name, "signatures")
-        else:
-            sources[name] = "table"
         out = out.unionByName(part)
     return out, sources
 

@@ -9,6 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import domain_key
+from siltstone.operators import ranking
+from siltstone.sources.versions import Versions
+
 BUCKETS = ("candidates", "accepted", "rejected")
 
 
@@ -54,6 +58,44 @@ def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+RECOMMENDATION = "domain string, title string, model string, benchmark_score double, avg_quality_score double, pass_rate double, examples_per_second double, updated_at long, ord long"
+
+
+def recommendations(spark: SparkSession, path: str) -> DataFrame:
+    """The models recommended by domain key; empty where there are none, or none that can be read."""
+    table = Versions(spark, path)
+    try:
+        return table.read() if table.exists() else spark.createDataFrame([], RECOMMENDATION)
+    except AnalysisException:
+        return spark.createDataFrame([], RECOMMENDATION)
+
+
+def recommend(spark: SparkSession, path: str, title: str, result: dict, updated_at: int) -> bool:
+    """Keeps a result (model and its scores) as the recommendation of a domain, in the place
+    of an earlier one. Without a domain or a model nothing is kept."""
+    if not title.strip() or not str(result.get("model") or "").strip():
+        return False
+    known = recommendations(spark, path)
+    names = [c.split()[0] for c in RECOMMENDATION.split(", ")]
+    last = known.agg(F.coalesce(F.max("ord"), F.lit(-1)) + 1).first()[0]
+    row = {**{k: result.get(k) for k in names}, "title": title.strip(), "model": str(result["model"]).strip(), "updated_at": updated_at, "ord": last}
+    new = spark.createDataFrame([tuple(row[n] for n in names)], RECOMMENDATION).withColumn("domain", domain_key(F.lit(title)))
+    # a domain keeps its place in the order
+    new = new.join(known.select("domain", F.col("ord").alias("place")), "domain", "left").withColumn("ord", F.coalesce("place", "ord")).select(names)
+    Versions(spark, path).replace(known.select(names).join(new.select("domain"), "domain", "left_anti").unionByName(new))
+    return True
+
+
+def recommended_model(spark: SparkSession, path: str, title: str) -> str | None:
+    """The model kept for a domain, or for the one that shares most words with it."""
+    if not title.strip():
+        return None
+    key = spark.range(1).select(domain_key(F.lit(title))).first()[0]
+    row = ranking.recommended(recommendations(spark, path).where(F.trim("model") != ""), key).first()
+    return row["model"] if row else None
+
+
 def append_history(rows: DataFrame, path: str) -> None:
-    """Adds rows to a history; ``ranking.latest`` reads the last ones."""
+    """Adds rows to a history; ``ranking.latest`` reads the last ones. ``versions.remember``
+    keeps the last ones only."""
     rows.write.mode("append").json(path)
