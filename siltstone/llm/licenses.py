@@ -54,6 +54,7 @@ WHOLE = {
     "Zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 THRESHOLD = 0.8
+GROUP = 256  # pieces of a text whose words are summed up together
 FOLDER_CHARS = 4 << 20  # of all texts of a folder of licenses, which go to the driver and into the plan
 HITS = "array<struct<passage:int,license:string,dice:double>>"
 
@@ -122,24 +123,48 @@ def passage_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold:
     return F.flatten(F.transform(F.transform(passages(text), bigrams), compare))
 
 
-def passage_places(text: Column) -> Column:
-    """array<struct<a, b>>: for each of :func:`passages` the first and last of the text's words, from 0."""
+def word_sums(pieces: Column) -> Column:
+    """struct<counts, groups>: the words of each piece, and those before each group of GROUP
+    pieces, so that a piece's place takes a few steps however many pieces there are."""
 
-    def places(pieces: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            end = acc["n"] + F.size(words(p))
-            place = F.struct(acc["n"].alias("a"), (end - 1).alias("b"), p.alias("p"))
-            return F.struct(end.alias("n"), F.concat(acc["out"], F.array(place)).alias("out"))
+    def grouped(counts: Column) -> Column:
+        total = lambda i: F.aggregate(F.slice(counts, i * GROUP + 1, GROUP), F.lit(0), lambda a, x: a + x)
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(counts) / GROUP).cast("int")), total)
+        step = lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.array_append(acc["out"], acc["n"]).alias("out"))
+        before = F.aggregate(sums, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+        return F.struct(counts.alias("counts"), before.alias("groups"))
 
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<a:int,b:int,p:string>>").alias("out"))
-        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return once(F.transform(pieces, lambda p: F.size(words(p))), grouped)
 
-    lines = places(F.filter(F.split(text, "\n"), lambda p: p != ""))
-    return F.concat(lines, F.filter(places(F.split(text, BLANK)), lambda x: F.contains(x["p"], F.lit("\n"))))
 
+def place_of(sums: Column, i: Column) -> Column:
+    """struct<a, b>: the first and last word of the i-th piece, from 0."""
+    group = F.floor(i / GROUP).cast("int")
+    a = F.get(sums["groups"], group) + F.aggregate(F.slice(sums["counts"], group * GROUP + 1, i - group * GROUP), F.lit(0), lambda x, y: x + y)
+    return F.struct(a.alias("a"), (a + F.get(sums["counts"], i) - 1).alias("b"))
 
-def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
-    """Word windows of the whole text that resemble a template, as hits without a passage.
+
+def passage_places(text: Column, wanted: Column) -> Column:
+    """array<struct<a, b>>: for each of the ``wanted`` of :func:`passages` (numbers from 0) the
+    first and last of the text's words."""
+    paragraphs = F.split(text, BLANK)
+    several = F.array_compact(F.transform(paragraphs, lambda p, i: F.when(F.contains(p, F.lit("\n")), i)))
+    parts = F.struct(word_sums(F.filter(F.split(text, "\n"), lambda p: p != "")).alias("lines"), word_sums(paragraphs).alias("blocks"), several.alias("several"))
+
+    def placed(x: Column) -> Column:
+        n = F.size(x["lines"]["counts"])
+        block = lambda k: place_of(x["blocks"], F.get(x["several"], k - n))
+        return F.transform(wanted, lambda k: F.when(k < n, place_of(x["lines"], k)).otherwise(block(k)))
+
+    return once(parts, placed)
+
+
+def found_hits(text: Column, passages_of: dict[str, str], templates: dict[str, str], threshold: float) -> Column:
+    """:func:`passage_hits` of the first templates, then the word windows of the whole text
+    that resemble one of the others, as hits without a passage.
+
+    The text's bigrams are worked out once. Unless it has as many of a template's as a
+    hit must share, nothing else is done with it.
 
     From every place where a run of the template's bigrams begins, the best window is
     taken; of overlapping ones of a template the best stays, and none that touches a
@@ -197,27 +222,27 @@ def window_hits(text: Column, hits: Column, templates: dict[str, str], threshold
         kept = lambda ws: F.filter(ws, lambda x: ~F.exists(ws, lambda y: beats(y, x)))
         return F.transform(once(windows, kept), lambda x: F.struct(F.lit(None).cast("int").alias("passage"), x["license"], x["dice"]))
 
-    def search_text(grams: Column, near: Column) -> Column:
+    def search_text(grams: Column, near: Column, hits: Column) -> Column:
         ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
         before = lambda o: F.concat(F.array(F.struct(F.lit("").alias("g"), F.lit(-1).alias("i"))), F.slice(o, 1, F.size(o) - 1))
         met = once(ordered, lambda o: F.zip_with(o, before(o), lambda x, y: F.struct(x["i"].alias("i"), F.when(x["g"] == y["g"], y["i"]).otherwise(-1).alias("last"), x["g"].alias("g"))))
-        places = passage_places(text)
-        taken = F.when(F.size(hits) > 0, once(places, lambda ps: F.transform(hits, lambda h: F.struct(h["license"].alias("license"), F.element_at(ps, h["passage"] + 1)["a"].alias("a"), F.element_at(ps, h["passage"] + 1)["b"].alias("b")))))
+        places = passage_places(text, F.transform(hits, lambda h: h["passage"]))
+        taken = F.when(F.size(hits) > 0, F.zip_with(hits, places, lambda h, x: F.struct(h["license"].alias("license"), x["a"].alias("a"), x["b"].alias("b"))))
         no_hits = F.array().cast("array<struct<license:string,a:int,b:int>>")
         return once(F.struct(F.array_sort(met).alias("met"), F.coalesce(taken, no_hits).alias("taken")), lambda x: most_alike(F.flatten(F.transform(near, lambda t: of_template(t, x["met"], x["taken"])))))
 
     def resembled(grams: Column) -> Column:
         near = once(F.array_intersect(grams, every), lambda seen: F.when(F.size(seen) > 0, F.filter(all_templates, lambda t: F.size(F.array_intersect(seen, t["own"])) >= t["n"] * low - 1e-9)))
-        return once(near, lambda ts: F.when(F.size(F.coalesce(ts, F.array().cast(near_type))) > 0, search_text(grams, ts)).otherwise(none))
+        both = lambda ts: once(passage_hits(text, passages_of, threshold), lambda hits: F.concat(hits, search_text(grams, ts, hits)))
+        return once(near, lambda ts: F.when(F.size(F.coalesce(ts, F.array().cast(near_type))) > 0, both(ts)).otherwise(none))
 
     near_type = "array<struct<license:string,own:array<string>,n:int>>"
     return once(all_bigrams(text), resembled)
 
 
 def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, whole: dict[str, str] = WHOLE) -> Column:
-    """:func:`passage_hits`, then :func:`window_hits` (``passage`` null) that they don't cover."""
-    both = lambda x: F.concat(x["hits"], window_hits(x["text"], x["hits"], {**templates, **whole}, threshold))
-    return once(F.struct(text.alias("text"), passage_hits(text, templates, threshold).alias("hits")), both)
+    """:func:`passage_hits`, then windows of the text (``passage`` null) that they don't cover."""
+    return once(text, lambda t: found_hits(t, templates, {**templates, **whole}, threshold))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, whole: dict[str, str] = WHOLE) -> DataFrame:

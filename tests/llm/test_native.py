@@ -344,3 +344,42 @@ def test_windows_are_the_best_ones(spark, name):
         words = text.split()
         best = max(dice(" ".join(words[a:b]), template) for a in range(len(words)) for b in range(a + 2, len(words) + 1))
         assert got[i] == (pytest.approx(best) if best >= 0.8 else 0)
+
+
+def test_places_of_passages(spark):
+    """Against a count of the words before, over more lines than a group has, with every passage wanted."""
+    rng = __import__("random").Random(3)
+    texts = ["", "one", "a b\nc\n\nd e f\n \ng", "\n".join(" ".join(["w"] * rng.randint(0, 4)) for _ in range(1500))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    n = F.size(licenses.passages(F.col("t")))
+    wanted = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    for r in df.select("t", licenses.passage_places(F.col("t"), wanted).alias("p")).collect():
+        count, expected = 0, []
+        for line in r["t"].split("\n"):
+            if line:
+                expected.append((count, count + len(line.split()) - 1))
+                count += len(line.split())
+        count = 0
+        for block in __import__("re").split(r"\n[\x20\x09-\x0D]*\n", r["t"]):
+            if "\n" in block:
+                expected.append((count, count + len(block.split()) - 1))
+            count += len(block.split())
+        got = [tuple(x) for x in r["p"]]
+        assert got == expected[: len(got)] and len(got) >= sum(1 for x in r["t"].split("\n") if x)
+
+
+def test_long_texts_with_a_hit_take_about_the_time_of_those_without(spark):
+    import time
+
+    line = "some words that stand in a line of text"
+    texts = {hit: "\n".join([line] * 40_000 + (["Released under the MIT License."] if hit else [])) for hit in (False, True)}
+
+    def seconds(hit):
+        df = spark.createDataFrame([(1, texts[hit])], "doc_id long, text string")
+        start = time.monotonic()
+        assert licenses.scanned(df).first()["hits"] == ([] if not hit else licenses.scanned(df).first()["hits"])
+        return time.monotonic() - start
+
+    seconds(True)
+    assert seconds(True) < 15 and seconds(False) < 8
+    assert [h["license"] for h in licenses.scanned(spark.createDataFrame([(1, texts[True])], "doc_id long, text string")).first()["hits"]] == ["MIT"]
