@@ -10,9 +10,10 @@ the seeds.
 
 Spark scores the pattern-instance graph in rounds. A pattern's confidence in a kind is
 the share of known instances among those that it extracts, instances that are known as
-another kind counting in full against it and unknown ones in part. A candidate's score
-is one less the product of its patterns' doubts. Candidates that score high become
-instances, which lend their other patterns weight in the next round, until a round
+another kind counting in full against it, unknown ones in part, and those that fail the
+kind's check digit as the ninth of them that would pass by chance. A candidate's score is one less the product of its patterns' doubts. Candidates
+that score high become instances, of plain numbers only those that words or a check digit
+support too, which lend their other patterns weight in the next round, until a round
 finds none.
 
 All of it is DataFrame functions. The graph is aggregated to (pattern, instance)
@@ -49,13 +50,16 @@ MIXED = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])"
 
 #: Kinds beyond the base ones, which the bootstrap alone finds.
 FOUND_KINDS = (*KINDS, "secret")
+CARD = KINDS.index("card")
 # Public formats of secrets, the seeds of that kind.
 SECRET = MIXED + r"(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16})$"
 
 MIN_CONFIDENCE = 0.6  # of a pattern
 MIN_INSTANCES = 5  # distinct known ones, of a pattern
 MIN_SCORE = 0.7  # of a candidate
+LUCK = 1 / 9  # numbers that pass a check digit by chance, for each that fails; only those that pass are candidates
 UNKNOWN = 0.25  # weight against a pattern of an instance of no known kind
+BARE = "^S [9#]+$"  # the shape of a plain number, which alone supports no candidate without a check digit
 LONGEST = 320  # characters of a mention that has a shape; emails have at most 254
 GROUP = 256  # matches of a text whose places are summed up together
 PATTERN_CHARS = 64  # longer patterns are told apart by a hash
@@ -96,10 +100,18 @@ def seed_kinds(core: Column) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(tests)]))
 
 
+def failed_kinds(core: Column) -> Column:
+    """array<int>: the kinds whose check digit a mention fails, which tells against them."""
+    digits = F.regexp_replace(core, "[^0-9]", "")
+    card = F.regexp_like(core, F.lit(r"^[0-9][0-9 .-]++$")) & ~F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
+    return F.array_compact(F.array(F.when(card, F.lit(CARD))))
+
+
 def shape(core: Column) -> Column:
-    """What a mention looks like: the alphabet of long mixed codes, else classes of characters."""
+    """What a mention looks like: the alphabet of long mixed codes, else classes of
+    characters, where runs of four digits or more have their length."""
     classes = core
-    for pattern, to in (("[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{L}+", "a")):
+    for pattern, to in ((r"(?<![0-9])[0-9]{1,3}(?![0-9])", "#"), ("[0-9]", "9"), (r"\p{Lu}+", "A"), (r"\p{L}+", "a")):
         classes = F.regexp_replace(classes, pattern, to)
     code = lambda letters: F.regexp_like(core, F.lit(MIXED + f"[0-9{letters}]{{12,}}$"))
     return F.when(code("a-f"), "hex").when(code("A-Z"), "upper").when(code("A-Za-z"), "code").otherwise(classes)
@@ -171,7 +183,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 def mentions_of(spans: DataFrame) -> DataFrame:
     """row, s, e (of the mention without what it is assigned to or enclosed in), instance
-    (in lower case), kinds, seeds (array<int>), patterns (array<string>), for every
+    (in lower case), kinds, seeds, failed (array<int>), patterns (array<string>), for every
     mention of a checkpointed :func:`with_spans` that has the shape of a kind."""
     rows = spans.select("row", F.explode("mentions").alias("x")).select("row", "x.*")
     # digits in groups keep their bracket or plus; what encloses a word goes
@@ -189,7 +201,7 @@ def mentions_of(spans: DataFrame) -> DataFrame:
     }
     short = lambda c: F.when(F.length(c) > PATTERN_CHARS, F.md5(c)).otherwise(c)
     patterns = F.array_compact(F.array(*[F.concat(F.lit(f"{n} "), short(c)) for n, c in named.items()]))
-    return rows.select("row", "s", "e", F.lower("core").alias("instance"), "kinds", seed_kinds(F.col("core")).alias("seeds"), patterns.alias("patterns"))
+    return rows.select("row", "s", "e", F.lower("core").alias("instance"), "kinds", seed_kinds(F.col("core")).alias("seeds"), failed_kinds(F.col("core")).alias("failed"), patterns.alias("patterns"))
 
 
 def bootstrap(mentions: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES, min_score: float = MIN_SCORE, unknown: float = UNKNOWN, hidden: Column | None = None) -> DataFrame:
@@ -200,32 +212,33 @@ def bootstrap(mentions: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_i
     found again. Without seeds the result is empty.
     """
     seen = F.lit(True) if hidden is None else ~hidden
-    instances = checkpointed(mentions.groupBy("instance").agg(F.min("kinds").alias("kinds"), F.min(F.when(seen, F.col("seeds"))).alias("seeds")))
+    instances = checkpointed(mentions.groupBy("instance").agg(F.min("kinds").alias("kinds"), F.min("failed").alias("failed"), F.min(F.when(seen, F.col("seeds"))).alias("seeds")))
     known = checkpointed(instances.select(F.explode("seeds").alias("k"), "instance"))
     # (pattern, instance) once, whatever the number of mentions; patterns of too few instances can't count
     graph = mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct()
     able = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_instances).select("pattern")
-    graph = graph.join(able, "pattern").join(instances.select("instance", F.explode("kinds").alias("k")), "instance")
-    graph = checkpointed(graph.select("k", "pattern", "instance"))
+    graph = graph.join(able, "pattern").join(instances.select("instance", "failed", F.explode("kinds").alias("k")), "instance")
+    graph = checkpointed(graph.select("k", "pattern", "instance", F.array_contains("failed", F.col("k")).alias("fails")))
     found = known.count()
     while found:
         kinds = known.groupBy("instance").agg(F.collect_set("k").alias("known"))  # at most one for each kind
         judged = graph.join(kinds, "instance", "left")
         own = F.coalesce(F.array_contains("known", F.col("k")), F.lit(False))
+        against, open_ = ~own & F.col("known").isNotNull(), F.col("known").isNull()
         trusted = (
             judged.groupBy("k", "pattern")
-            .agg(F.count_if(own).alias("own"), F.count_if(~own & F.col("known").isNotNull()).alias("other"), F.count_if(F.col("known").isNull()).alias("open"))
+            .agg(F.count_if(own).alias("own"), F.count_if(against).alias("other"), F.count_if(open_ & ~F.col("fails")).alias("open"), F.count_if(open_ & F.col("fails")).alias("failing"))
             .where(F.col("own") >= min_instances)
-            .select("k", "pattern", (F.col("own") / (F.col("own") + F.col("other") + unknown * F.col("open"))).alias("confidence"))
+            .select("k", "pattern", (F.col("own") / (F.col("own") + F.col("other") + unknown * F.col("open") + LUCK * F.col("failing"))).alias("confidence"))
             .where(F.col("confidence") >= min_confidence)
         )
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         new = (
-            judged.where(F.col("known").isNull())
+            judged.where(F.col("known").isNull() & ~F.col("fails"))
             .join(small(checkpointed(trusted)), ["k", "pattern"])
             .groupBy("k", "instance")
-            .agg((1 - doubt).alias("score"))
-            .where(F.col("score") >= min_score)
+            .agg((1 - doubt).alias("score"), F.max(~F.regexp_like("pattern", F.lit(BARE)) | (F.col("k") == CARD)).alias("supported"))
+            .where((F.col("score") >= min_score) & F.col("supported"))
             .select("k", "instance")
         )
         new = checkpointed(new)

@@ -100,9 +100,10 @@ def test_neighbours_are_whole_words(spark):
 
 def plain_bootstrap(mentions, hidden):
     """The rounds over plain sets."""
-    kinds, known, graph = {}, {}, set()
+    kinds, known, graph, failed = {}, {}, set(), {}
     for m in mentions:
         kinds[m["instance"]] = m["kinds"]
+        failed[m["instance"]] = set(m["failed"])
         if not hidden(m["instance"]):
             known.setdefault(m["instance"], set()).update(m["seeds"])
         graph |= {(k, p, m["instance"]) for k in m["kinds"] for p in m["patterns"]}
@@ -111,16 +112,18 @@ def plain_bootstrap(mentions, hidden):
         by = {}
         for k, p, i in graph:
             by.setdefault((k, p), set()).add(i)
-        doubts = {}
+        doubts, by_words = {}, set()
         for (k, p), own in by.items():
             pos = sum(k in known.get(i, ()) for i in own)
             neg = sum(i in known and k not in known[i] for i in own)
-            confidence = pos / (pos + neg + 0.25 * (len(own) - pos - neg)) if pos else 0
+            failing = sum(i not in known and k in failed[i] for i in own)
+            confidence = pos / (pos + neg + 0.25 * (len(own) - pos - neg - failing) + failing / 9) if pos else 0
             if pos >= 5 and confidence >= 0.6:
                 for i in own:
-                    if i not in known:
+                    if i not in known and k not in failed[i]:
                         doubts[k, i] = doubts.get((k, i), 1.0) * max(1 - confidence, 1e-9)
-        new = [(k, i) for (k, i), d in doubts.items() if 1 - d >= 0.7]
+                        by_words |= {(k, i)} if k == 2 or not re.fullmatch("S [9#]+", p) else set()
+        new = [(k, i) for (k, i), d in doubts.items() if 1 - d >= 0.7 and (k, i) in by_words]
         for k, i in new:
             known.setdefault(i, set()).add(k)
         if not new:
@@ -139,9 +142,27 @@ def test_hidden_identifiers_are_found_again(spark):
     hide = {r["instance"] for r in rows if r["hide"]}
     assert known == plain_bootstrap(rows, hide.__contains__)
     assert len(held) > 10 and len(held & known) >= 0.9 * len(held)
-    # beyond all seeds there are only secrets, and numbers like the cards whose check digit is wrong
-    beyond = known - seeds
-    assert beyond and all(pii.FOUND_KINDS[k] == "secret" or (pii.KINDS[k] == "card" and re.fullmatch("[0-9]{16}", i) and not luhn(i)) for k, i in beyond)
+    # beyond all seeds there are only secrets: numbers whose check digit is wrong aren't cards
+    assert all(pii.FOUND_KINDS[k] == "secret" for k, i in known - seeds)
+
+
+def test_look_alikes_are_left_alone(spark):
+    """Timestamps, order numbers, ISBNs and dates beside cards and phones of many documents:
+    three tenths of these are in forms that the base patterns don't have, and are found."""
+    cards = [c for c in map(str, range(4539148803430000, 4539148803439000, 7)) if luhn(c)][:60]
+    rows, wanted = [], set()
+    for i in range(60):
+        dotted = i % 10 < 3
+        card = ".".join([cards[i][:4], cards[i][4:8], cards[i][8:12], cards[i][12:]]) if dotted else cards[i]
+        phone = f"(0{30 + i % 7}) 5550 {1000 + i}" if dotted else f"+49 {30 + i % 7} 5550 {1000 + i}"
+        rows.append((i, f"please charge card {card} today and call phone {phone} after"))
+        wanted |= {(i, "card"), (i, "phone")} if dotted else set()
+    ean = lambda n: f"978{n:09d}" + str(-sum(int(c) * (3 if j % 2 else 1) for j, c in enumerate(f"978{n:09d}")) % 10)
+    for i in range(100):
+        rows.append((1000 + i, f"event logged at {1700000000977 + 7919 * i} by host on 2024-0{1 + i % 9}-{10 + i % 18} with order 20240{100000000 + 7919 * i} for book {ean(316148410 + i)}"))
+    found = {r["doc_id"]: r["found"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {(i, pii.FOUND_KINDS[x["k"]]) for i, xs in found.items() for x in xs}
+    assert len(got & wanted) >= 0.9 * len(wanted) and len(got - wanted) <= 0.05 * len(got), (got - wanted, wanted - got)
 
 
 def test_very_many_matches_of_one_text(spark):
