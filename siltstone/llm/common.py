@@ -45,6 +45,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``max_rows`` rows, else
     without one: the join is then shuffled, and AQE splits its skewed partitions.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.llm.common import shared_folder, table
+from siltstone.llm.common import checkpointed, deleted, shared_folder, table
 
 BLOCK = 64
 RATE = 8000
@@ -256,5 +256,9 @@ def stored_texts(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored media of each row of ``documents``, by :func:`stored_texts`: doc_id,
-    n_bytes, and the digests of the payload and of the file that was read back."""
-    return stored_texts(table(spark, sf_dir, "documents"))
+    n_bytes, and the digests of the payload and of the file that was read back. The media
+    are deleted when the digests, a small part of them, are settled."""
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    found = checkpointed(stored_texts(table(spark, sf_dir, "documents"), folder))
+    deleted(spark, folder)
+    return found

@@ -280,7 +280,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the base spans, all spans, and the number of spans that the bootstrap adds.
     Null, empty, very long and repeated texts as in :func:`detect`."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["k"] == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # a second parameter of the function would be the place in the array
+    number = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,

@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of ``docs``.
 
-    A null text counts as empty, and is scored; without a column n_chars, or where it
+    A null text counts as empty, and is scored; of a very long one every word counts;
+    without a column n_chars, or where it
     is null, the declared length is the real one. Repeated rows get equal scores; an
     empty table gives an empty result; other columns aren't read.
     """

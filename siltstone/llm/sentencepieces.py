@@ -158,7 +158,7 @@ def encoded(docs: DataFrame, model: str | None = None, ids: bool = True) -> Data
     for each row of ``docs``.
 
     ``model`` is the path of a vocabulary file on every executor. A null text counts
-    as empty and has no ids. Repeated rows give equal values, an empty table an empty
+    as empty and has no ids; a very long one is encoded whole. Repeated rows give equal values, an empty table an empty
     result; other columns aren't read. Raises if the library's ids differ.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]

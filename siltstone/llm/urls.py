@@ -162,7 +162,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
     which begins with a slash). Of the rules that fit, the longest wins; a rule in
     both lists blocks. A URL without a rule is in neither list and gets ``default``.
     A null URL has an empty host and path and no rule; repeated rows are judged
-    alike; an empty table gives an empty result; other columns aren't read.
+    alike; a very long URL is judged whole; an empty table gives an empty result; other columns aren't read.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url").cast("string"))
