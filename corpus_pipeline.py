@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, quality, sentencepieces, simhash
-from siltstone.llm.common import checkpointed, free_names, shared_folder, table, text_of
+from siltstone.llm.common import checkpointed, deleted, free_names, shared_folder, table, text_of
 
 
 def _keep(docs: DataFrame, kept: DataFrame, text_hash) -> DataFrame:
@@ -109,7 +109,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder
     named by spark.checkpoint.dir (a temporary one in a local session without that
     setting) and reread. A stage's rows are deleted once the next stage's are written;
-    those that the last stage reads stay, for the caller to delete with the result."""
+    the last stage's, a small part of them, are settled in a checkpoint."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
@@ -117,11 +117,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _delete(spark, before)
+            deleted(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    last = checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    deleted(spark, folder)
+    return last
