@@ -31,7 +31,7 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
     """id, likeness: the best Jaccard of answers' grams with any reference answer, at
     least ``threshold``.
 
-    Answers are compared once for each distinct gram set, so groups of copies don't
+    Grams stand as 64-bit hashes. Answers are compared once for each distinct gram set, so groups of copies don't
     multiply, and sets that both sides have are done. Two sets that are alike enough share
     one of their rarest grams: of n grams the n - ceil(threshold x n) + 1 that the fewest
     answers have. Only sets that share one of those are compared, so passages that very
@@ -40,8 +40,9 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
     one has found the best, and isn't compared with all that are less alike.
     """
     def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        keyed = rows.select("id", F.array_sort(grams_overlap(F.col("assistant"))).alias("g"))
-        own = keyed.withColumn("k", F.md5(F.array_join("g", "\n")))
+        numbers = F.array_sort(F.array_distinct(F.transform(grams_overlap(F.col("assistant")), lambda x: F.xxhash64(x))))
+        own = rows.select("id", numbers.alias("g")).withColumn("k", F.concat(F.hex(F.xxhash64("g")), F.hex(F.xxhash64(F.lit("again"), F.col("g")))))
+        own = stored(own)
         return own.select("id", "k"), own.groupBy("k").agg(F.any_value("g").alias("g"))
 
     member, gen = classes(generated)
@@ -50,9 +51,9 @@ def near_overlap(generated: DataFrame, reference: DataFrame, threshold: float =
     grams = gen.select(F.explode("g").alias("gram")).union(ref.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
 
     def by_rarity(side: DataFrame) -> DataFrame:
-        """(k, g) with the grams as 64-bit numbers, the rarest first."""
+        """(k, g) with the grams in order, the rarest first."""
         flat = side.select("k", F.explode("g").alias("gram")).join(grams, "gram")
-        return stored(flat.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("gram").alias("h")))).alias("o")).select("k", F.col("o.h").alias("g")))
+        return stored(flat.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("o")).select("k", F.col("o.gram").alias("g")))
 
     same = gen.select("k").join(ref.select("k"), "k", "left_semi").withColumn("likeness", F.lit(1.0))
     found = stored(same)
