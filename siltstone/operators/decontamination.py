@@ -8,6 +8,7 @@ one pass; only candidates for a substring are read again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -67,14 +68,43 @@ def indexed(items: DataFrame, rules=RULES, n: int = GRAM) -> DataFrame:
     return flat.join(sizes, ["benchmark", "item_index", "rule"])
 
 
+def _met(examples: DataFrame, index: DataFrame, rules, n: int) -> DataFrame:
+    """(id, rule, key) of the keys of a small index that an example has, looked up in tasks
+    that hold them: no row is made for a gram that no item has."""
+    held: dict[str, set] = {rule: set() for rule in rules}
+    for row in index.select("rule", "key").distinct().collect():  # BROADCAST_ROWS at most
+        held[row["rule"]].add(row["key"])
+    shared = examples.sparkSession.sparkContext.broadcast(held)
+    sizes = {"ngram": n, "substring": 3}
+
+    def keys_of(norm: str, known: dict[str, set]) -> Iterator[tuple[str, str]]:
+        if known.get("exact") and (digest := hashlib.md5(norm.encode()).hexdigest()) in known["exact"]:
+            yield "exact", digest
+        tokens = norm.split()  # a normalised text has no white space but blanks
+        for rule, size in sizes.items():
+            if known.get(rule):
+                for key in known[rule].intersection(map(" ".join, zip(*(tokens[i:] for i in range(size))))):
+                    yield rule, key
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            found = [(i, *x) for i, norm in enumerate(batch["norm"].to_pylist()) if norm is not None for x in keys_of(norm, known)]
+            at, rule, key = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(rule, pa.string()), pa.array(key, pa.string())], names=["id", "rule", "key"])
+
+    own = examples.select("id", normalize_decon(F.col("text")).alias("norm"))
+    return own.mapInArrow(of_batches, f"id {dict(examples.dtypes)['id']}, rule string, key string")
+
+
 def looked_up(examples: DataFrame, index: DataFrame, rules=RULES, n: int = GRAM, most_rows: int | None = None) -> DataFrame:
-    """(id, rule, key) of the examples that the index may have: all of them if the index is
-    small enough to be broadcast, else those that a filter of its keys lets through,
-    so that what is shuffled is about the hits."""
-    own = examples.select("id", F.explode(_keys(normalize_decon(F.col("text")), rules, n)).alias("x")).select("id", "x.rule", "x.key")
+    """(id, rule, key) of the examples that the index may have, so that what is shuffled is
+    about the hits: if the index is small enough to be broadcast those whose key it has,
+    else those that a filter of its keys lets through."""
     size = index.count()
     if size <= (BROADCAST_ROWS if most_rows is None else most_rows):
-        return own
+        return _met(examples, index, rules, n)
+    own = examples.select("id", F.explode(_keys(normalize_decon(F.col("text")), rules, n)).alias("x")).select("id", "x.rule", "x.key")
     keys = index.select(F.xxhash64("rule", "key").alias("h")).distinct()
     return known(own.withColumn("h", F.xxhash64("rule", "key")), "h", keys, size).drop("h")
 
@@ -126,8 +156,9 @@ def _contained(examples: DataFrame, items: DataFrame, candidates: DataFrame) ->
     Each candidate text is read once more, and carried once for each of its candidates.
     """
     wanted = stored(candidates.join(bounded(items), ["benchmark", "item_index"]))
-    own = examples.select("id", normalize_decon(F.col("text")).alias("own"))
-    return own.join(bounded(wanted), "id").where(F.contains("own", "norm")).select("id", "benchmark", "item_index")
+    # texts without a candidate go before any is normalised
+    met = examples.select("id", "text").join(bounded(wanted), "id")
+    return met.where(F.contains(normalize_decon(F.col("text")), F.col("norm"))).select("id", "benchmark", "item_index")
 
 
 def _short_hits(examples: DataFrame, items: DataFrame) -> DataFrame:
