@@ -114,15 +114,20 @@ class Pieces(dict):
         return self.joined(MARK + text.replace(" ", MARK)) if text else ""
 
     def agrees(self, segments: list[str]) -> bool:
-        """Whether the library gives the ids that are held for these segments."""
-        text = "".join(["a", *("\n" + s for s in segments)])
-        return self.library.encode(text.replace(MARK, " ")) == numbers(",".join([self.joined(MARK + "a"), *(f"{self[chr(10)]},{self[s]}" for s in segments)]))
+        """Whether the library gives the ids that are held for these segments.
+
+        They stand behind a known word. One that begins a word is cut off by its mark; a
+        line break is put before others, and behind marks that stand alone.
+        """
+        parts = [MARK + "a"]
+        for s in segments:
+            parts += [s] if s[0] == MARK and s[-1] != MARK else ["\n", s, "\n"] if s[0] == MARK else ["\n", s]
+        return self.library.encode("".join(parts)[1:].replace(MARK, " ")) == numbers(",".join([self[s] for s in parts]))
 
     def check(self) -> None:
         """Compares the segments that are new since the last call with the library.
 
-        They are joined to one text behind a known word, each after a line break, so
-        that the library cuts it in the same places and drops none.
+        They are joined to one text that the library cuts in the same places.
         """
         new = self.new.copy()  # the comparison itself may meet more
         if new and not self.agrees(new):
