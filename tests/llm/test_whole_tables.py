@@ -30,6 +30,9 @@ def test_op1_pii(spark, sf_dir):
 
 
 def test_op4_media(spark, sf_dir, tmp_path):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    stored_media = lambda: {x for x in os.listdir(shared) if x.startswith("media-")}
+    before = stored_media()
     texts, got = rows_of(spark, sf_dir), media.op4_media(spark, sf_dir).collect()
     assert len(got) == len(texts)
     for r in got:
@@ -39,8 +42,7 @@ def test_op4_media(spark, sf_dir, tmp_path):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         stored = media.to_wav(payload)
         assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest()
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    assert not [x for x in os.listdir(shared) if x.startswith("media-")]
+    assert stored_media() == before
 
 
 def test_op7_sentencepiece(spark, sf_dir):
