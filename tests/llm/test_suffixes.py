@@ -131,3 +131,21 @@ def test_runs_merge_by_binary_search():
         runs.append((np.array(own, "S16"), places))
     found = suffixes.merged_runs(runs)["at"].tolist()
     assert sorted(found) == sorted(at for at, (d, is_open) in where.items() if is_open and count[d] > 1)
+
+
+@pytest.mark.parametrize("most", [30, 77, 1000])
+def test_keys_don_t_depend_on_the_pieces(most):
+    """Of long texts that are cut, and of short ones together: each window's key is its own."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([400, 5, 20, 0, 19, 130, 64, 700])
+    data = rng.integers(97, 100, lengths.sum()).astype(np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    found = {}
+    for a, b, first, last in suffixes.pieces(lengths, 20, most):
+        _, at, keys = suffixes.window_keys(data[a:b], first, last, 20, 7)
+        found |= dict(zip((at + a).tolist(), keys.tolist()))
+    want = {}
+    for s, n in zip(starts.tolist(), lengths.tolist()):
+        for i in range(s, s + n - 19):
+            want[i] = int(suffixes.gram_hashes(data[i : i + 20], 7).min())
+    assert found == want
