@@ -75,8 +75,9 @@ class Engine:
     def _planned(self, seeds: DataFrame, accepted: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Clusters with targets, their edges, and (key, n) of what is accepted."""
         g = self.config.generation
-        clusters = planning.with_targets(planning.seed_profile(planning.with_cluster(seeds)), g.num_examples)
-        edges = planning.neighbor_edges(planning.cluster_vectors(clusters, planning.with_cluster(seeds)), g.neighbor_k)
+        rows = stored(planning.with_tokens(planning.with_cluster(seeds)).drop("user", "assistant"))  # each text is read once
+        clusters = stored(planning.with_targets(planning.seed_profile(rows), g.num_examples))
+        edges = stored(planning.neighbor_edges(stored(planning.cluster_vectors(clusters, rows)), g.neighbor_k))
         have = distribution.counts_by(accepted, F.col("cluster_id")) if accepted is not None else self.spark.createDataFrame([], "key string, n long")
         return clusters, edges, have
 
