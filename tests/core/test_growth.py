@@ -1,7 +1,13 @@
 """What is shuffled, stored and read doesn't grow beyond what a result needs."""
 
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from siltstone.functions import text
 from siltstone.operators import reference
 from siltstone.operators.views import document_examples
+from siltstone.plans import catalog
 
 
 def test_near_overlap_shuffles_grams_of_texts_that_can_be_alike(spark, monkeypatch):
@@ -23,3 +29,29 @@ def test_near_overlap_shuffles_grams_of_texts_that_can_be_alike(spark, monkeypat
     got = {r["id"]: round(r["likeness"], 6) for r in reference.near_overlap(gen, ref).collect()}
     assert got == {0: 1.0, 2: round(50 / 61, 6), 3: round(50 / 61, 6)}
     assert sizes and max(sizes) < 20
+
+
+@pytest.mark.parametrize("name", ["graph_neighbors", "cluster_priority", "seeds_of_clusters", "graph_coverage", "distribution_status", "planned_gaps", "cluster_vectors"])
+def test_texts_are_classified_once_for_clusters(spark, sf_dir, monkeypatch, name):
+    read, plain = [], catalog.table
+
+    def watched(spark, d, table):
+        read.append(table)
+        return plain(spark, d, table)
+
+    monkeypatch.setattr(catalog, "table", watched)
+    out = __spark_entry__.queries()[name](spark, sf_dir)
+    assert read.count("documents") == 1
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_reads_no_text_again(spark, sf_dir):
+    out = __spark_entry__.queries()["distribution_validation"](spark, sf_dir)
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 5])
+def test_capped_word_counts(spark, most):
+    texts = ["", " ", "a", " a ", "a b", " a b", "a b ", "  a\u00a0b  c ", "a b c d e", " a b c d e f ", "a\nb c\td e f g h", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.word_count(F.col("t")).alias("n"), text.word_count(F.col("t"), most).alias("m")).collect()
+    assert all(r["m"] == r["n"] if r["n"] <= most else r["m"] > most for r in rows)
