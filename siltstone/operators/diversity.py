@@ -88,11 +88,16 @@ def estimated_gram_distance(rows: DataFrame, n: int = 3, functions: int = FUNCTI
     :func:`mean_gram_distance`, which is exact and for samples.
     """
     hashed = min_hashes(rows, n, functions)
-    counts = hashed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("least").isNull()).alias("e"))
-    # a value that very many texts have is counted in tasks first
-    same = hashed.select(F.posexplode("least").alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
-    each = same.groupBy("i").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("likeness"))
-    one = counts.join(each.agg(F.coalesce(F.avg("likeness"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp("likeness"), F.lit(0.0)).alias("spread")))
+    # a value that very many texts have is counted in tasks first; texts without grams are those without a function's number
+    same = hashed.select(F.posexplode_outer("least").alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+    each = same.groupBy("i").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    likeness = F.when(F.col("i").isNotNull(), F.col("pairs"))
+    one = each.agg(
+        F.coalesce(F.sum(F.when(F.col("i").isNull() | (F.col("i") == 0), F.col("rows"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("i").isNull(), F.col("rows"))), F.lit(0)).alias("e"),
+        F.coalesce(F.avg(likeness), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.stddev_samp(likeness), F.lit(0.0)).alias("spread"),
+    )
     pairs = (F.col("n") * (F.col("n") - 1) - F.col("e") * (F.col("e") - 1)) / 2
     share = lambda x: x / F.greatest(pairs, F.lit(1.0))
     return one.select(F.when(pairs > 0, 1 - share(F.col("mean"))).otherwise(F.lit(1.0)).alias("diversity"), share(F.col("spread") / functions**0.5).alias("standard_error"))

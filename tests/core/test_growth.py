@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone.functions import text
-from siltstone.operators import reference
+from siltstone.operators import diversity, reference
 from siltstone.operators.views import document_examples
 from siltstone.plans import catalog
 
@@ -55,3 +55,14 @@ def test_capped_word_counts(spark, most):
     texts = ["", " ", "a", " a ", "a b", " a b", "a b ", "  a\u00a0b  c ", "a b c d e", " a b c d e f ", "a\nb c\td e f g h", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.word_count(F.col("t")).alias("n"), text.word_count(F.col("t"), most).alias("m")).collect()
     assert all(r["m"] == r["n"] if r["n"] <= most else r["m"] > most for r in rows)
+
+
+def test_estimated_diversity_hashes_each_text_once(spark):
+    schema = "id long, assistant string"
+    rows = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h"), (4, "x"), (5, None)], schema)
+    out = diversity.estimated_gram_distance(rows)
+    # ten pairs but that of the two without grams; one is equal
+    assert tuple(out.first()) == (1 - 1 / 9, 0.0)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert tuple(diversity.estimated_gram_distance(rows.where("id > 3")).first()) == (1.0, 0.0)
+    assert tuple(diversity.estimated_gram_distance(rows.where("false")).first()) == (1.0, 0.0)
