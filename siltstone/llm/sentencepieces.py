@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +44,17 @@ def merged(text: str, ranks: dict[str, int]) -> list[str]:
 
 def merged_short(text: str, ranks: dict[str, int]) -> list[str]:
     symbols, rank = list(text), ranks.get
-    agenda = [rank(a + b, NEVER) for a, b in zip(text, text[1:])]
-    while agenda and (best := min(agenda)) < NEVER:
+    n = len(text) - 1
+    agenda = [rank(text[i : i + 2], NEVER) for i in range(n)]
+    while n > 0 and (best := min(agenda)) < NEVER:
         i = agenda.index(best)
-        symbols[i] += symbols.pop(i + 1)
+        symbols[i] = s = symbols[i] + symbols.pop(i + 1)
         del agenda[i]
-        if i < len(agenda):
-            agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+        n -= 1
+        if i < n:
+            agenda[i] = rank(s + symbols[i + 1], NEVER)
         if i:
-            agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+            agenda[i - 1] = rank(symbols[i - 1] + s, NEVER)
     return symbols
 
 
@@ -77,6 +80,17 @@ def merged_long(text: str, ranks: dict[str, int]) -> list[str]:
     return [x for x in symbols if x]
 
 
+class Written(dict):
+    """piece -> its id as text; the ids of its bytes, joined by commas, if it is none."""
+
+    def __init__(self, ids: dict[str, int], raw: dict[int, int]):
+        super().__init__((p, str(i)) for p, i in ids.items())
+        self.raw = raw
+
+    def __missing__(self, piece: str) -> str:
+        return ",".join(str(self.raw[b]) for b in piece.encode())
+
+
 class Pieces(dict):
     """segment -> its ids as text, joined by commas; filled as segments come."""
 
@@ -91,6 +105,7 @@ class Pieces(dict):
         self.ranks = {p: order[score] for p, score in scores.items()}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no bytes to fall back to")
+        self.written = Written(self.ids, self.bytes)
         long = [p for p in self.ids if len(p) > 1]
         letters = "".join(sorted(re.escape(c) for c in set("".join(long)) - {MARK}))
         words_end = not any(MARK in p.lstrip(MARK) for p in long)
@@ -99,9 +114,7 @@ class Pieces(dict):
 
     def __missing__(self, segment: str) -> str:
         if (out := self.older.get(segment)) is None:
-            own, raw = self.ids, self.bytes
-            ids = [str(i) for p in merged(segment, self.ranks) for i in ([own[p]] if p in own else [raw[b] for b in p.encode()])]
-            out = ",".join(ids)
+            out = ",".join(map(self.written.__getitem__, merged(segment, self.ranks)))
             self.new.append(segment)
         self[segment] = out
         return out
@@ -140,7 +153,7 @@ class Pieces(dict):
 
 
 def numbers(joined: str) -> list[int]:
-    return list(map(int, joined.split(","))) if joined else []
+    return np.fromstring(joined, np.int32, sep=",").tolist() if joined else []
 
 
 @cache
