@@ -89,7 +89,7 @@ def _met(examples: DataFrame, index: DataFrame, rules, n: int) -> DataFrame:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [(i, *x) for i, norm in enumerate(batch["norm"].to_pylist()) if norm is not None for x in keys_of(norm, known)]
+            found = [(i, *x) for i, text in enumerate(batch["norm"]) if (norm := text.as_py()) is not None for x in keys_of(norm, known)]
             at, rule, key = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(rule, pa.string()), pa.array(key, pa.string())], names=["id", "rule", "key"])
 
